@@ -9,10 +9,15 @@ candidates; at the limit similarity of 0.75 a pair escapes 32 bands of 4 rows wi
 probability 5e-6, and less above it.
 
 Texts with equal shingle sets form one class; only class representatives are compared.
-In each bucket all members are first compared with the smallest and the largest one.
-Then all pairs of a bucket that aren't yet in one component are compared, except those
-within its leading component. So every candidate pair is either in one component or
-has been verified on full sets, and no bucket is expanded into all its pairs.
+In each bucket all members are first compared with the smallest one.
+Members of a bucket that aren't yet in one component are then matched by 512 more
+coordinates of the same circulant signature, in blocks: a pair goes on to verification if
+at least ``agree`` of them are equal (a pair at the limit has 384 on average, and fewer
+than 336 with probability 1e-6) and the bucket is the first one that both share. So every
+candidate pair is either in one component, or verified on full sets, or ruled out by
+its signature, and no bucket is expanded into all its pairs. Shingle sets are made for
+members of shared buckets alone, found by a Bloom filter of fixed size; texts aren't
+shuffled.
 
 Null or blank texts have an empty set and link with nothing. Rows that share an id are
 one vertex. A null id links with nothing and has a null component.
@@ -35,6 +40,7 @@ _WORD[[9, 10, 11, 12, 13, 32]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 UNIVERSE_BITS = 20
+MATCH = 512
 
 
 def shingle_hashes(data: np.ndarray, at: np.ndarray, words: int) -> list[np.ndarray]:
@@ -69,11 +75,24 @@ class CirculantMinHash:
         pi = rng.permutation(1 << UNIVERSE_BITS).astype(np.uint32)
         self.bands, self.rows, self.size = bands, rows, bands * rows
         self.stretch = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: self.size]]), self.size)
+        # Coordinates for matching follow those of the bands on the circle; 16 bits of a pi value tell enough.
+        short = (np.roll(pi, -self.size) >> np.uint32(UNIVERSE_BITS - 16)).astype(np.uint16)
+        self.match = np.lib.stride_tricks.sliding_window_view(np.concatenate([short, short[:MATCH]]), MATCH)
         self.sigma = rng.integers(0, 1 << 63, dtype=np.uint64)
         self.salt = common.mix64(np.arange(1, bands + 1, dtype=np.uint64))
 
+    def match_bytes(self, hashes: np.ndarray) -> bytes:
+        out = np.full(MATCH, 0xFFFF, np.uint16)
+        places = self.places(hashes)
+        for i in range(0, len(places), 1024):
+            np.minimum(out, self.match[places[i : i + 1024]].min(axis=0), out=out)
+        return (out ^ (out >> 8)).astype(np.uint8).tobytes()
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        return (common.mix64(hashes ^ self.sigma) >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)
+
     def signature(self, hashes: np.ndarray) -> np.ndarray:
-        places = (common.mix64(hashes ^ self.sigma) >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)
+        places = self.places(hashes)
         out = np.full(self.size, 0xFFFFFFFF, np.uint32)
         for i in range(0, len(places), 2048):
             np.minimum(out, self.stretch[places[i : i + 2048]].min(axis=0), out=out)
@@ -88,7 +107,7 @@ class CirculantMinHash:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, s1, s2, bands): size and 128-bit digest of each row's set, and its band keys."""
+    """(id, n_shingles, s1, s2, bands, sig): size and 128-bit digest of each row's set, its band keys and matching bytes."""
     source = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,25 +117,91 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, bands: int
             sums = [np.array([common.mix64(x ^ np.uint64(salt)).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
             keys = [maker.band_keys(x) if len(x) else np.zeros(0, np.int64) for x in sets]
             lists = common.list_array(np.concatenate(keys), np.array([len(x) for x in keys]), pa.int64())
-            yield pa.RecordBatch.from_arrays([common.column(batch, "id"), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, sums), lists], ["id", "n_shingles", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([common.column(batch, "id"), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, sums), lists, pa.array([maker.match_bytes(x) if len(x) else b"" for x in sets], pa.binary())], ["id", "n_shingles", "s1", "s2", "bands", "sig"])
 
     kind = source.schema["id"].dataType
-    return source.mapInArrow(run, T.StructType([T.StructField("id", kind), *T._parse_datatype_string("n_shingles long, s1 long, s2 long, bands array<long>").fields]))
+    return source.mapInArrow(run, T.StructType([T.StructField("id", kind), *T._parse_datatype_string("n_shingles long, s1 long, s2 long, bands array<long>, sig binary").fields]))
+
 
+def id_filter(ids: DataFrame, bits: int = 1 << 26) -> np.ndarray:
+    """A Bloom filter of the (long) column ``id``, three hashes, ``bits`` bits whatever the number of ids."""
+    places = F.array(*(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(bits)) for salt in range(3)))
+    words = ids.select(F.explode(places).alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("x"))
+    table = words.toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[table["w"].to_numpy()] = table["x"].to_numpy()
+    return out.view(np.uint64)
 
-def shingle_sets(df: DataFrame, words: int) -> DataFrame:
-    """(id, bytes) to (id, shingles array<long>)."""
+
+def shingle_sets(df: DataFrame, used: DataFrame, words: int) -> DataFrame:
+    """(id, shingles array<long>) of the rows of (id, text) whose id is in ``used`` (and a few others)."""
+    bits = df.sparkSession.sparkContext.broadcast(id_filter(used))
+    places = F.array(*(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 26)) for salt in range(3)))
+    source = df.where("id is not null").select("id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes"), places.alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "bytes"):
-            sets = shingle_hashes(*common.byte_view(common.column(batch, "bytes")), words)
+            at = common.column(batch, "places").flatten().to_numpy().reshape(-1, 3)
+            hit = ((bits.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+            part = batch.filter(pa.array(hit))
+            if not part.num_rows:
+                continue
+            sets = shingle_hashes(*common.byte_view(common.column(part, "bytes")), words)
             lists = common.list_array(np.concatenate(sets).view(np.int64), np.array([len(x) for x in sets]), pa.int64())
-            yield pa.RecordBatch.from_arrays([common.column(batch, "id"), lists], ["id", "shingles"])
-
-    return df.select("id", "bytes").mapInArrow(run, "id long, shingles array<long>")
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([common.column(part, "id"), lists], ["id", "shingles"])
+
+    return source.mapInArrow(run, "id long, shingles array<long>")
+
+
+def _match_blocks(batches: Iterator[pa.RecordBatch], percent: int, agree: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block pair that may link: rows come sorted by (band, i, j), the rows of one block pair in a row."""
+
+    def groups() -> Iterator[pa.Table]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            keys = np.stack([table[k].to_numpy() for k in ("band", "i", "j")])
+            cut = np.append(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, table.num_rows)
+            start = 0
+            for end in cut[:-1]:
+                yield table.slice(start, end - start)
+                start = int(end)
+            held = table.slice(start)
+        if held is not None:
+            yield held
+
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for g in groups():
+        side, label, n, rep = (g[k].to_numpy() for k in ("side", "mine", "n_shingles", "rep"))
+        a = np.flatnonzero(side == 0)
+        b = np.flatnonzero(side == 1) if (side == 1).any() else a
+        differ = label[a][:, None] != label[b][None, :]
+        differ &= np.minimum(n[a][:, None], n[b][None, :]) * 100 >= np.maximum(n[a][:, None], n[b][None, :]) * percent
+        if b is a:
+            differ = np.triu(differ, 1)
+        if not differ.any():
+            continue
+        sig = np.frombuffer(b"".join(g["sig"].to_pylist()), np.uint8).reshape(len(rep), -1)
+        bands = g["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        which = bands[0] == g["band"][0].as_py()
+        before = int(np.argmax(which))
+        i, j = np.nonzero(differ)
+        i, j = a[i], b[j]
+        for k in range(0, len(i), 8192):
+            x, y = i[k : k + 8192], j[k : k + 8192]
+            ok = ~(bands[x, :before] == bands[y, :before]).any(axis=1)
+            x, y = x[ok], y[ok]
+            ok = (sig[x] == sig[y]).sum(axis=1) >= agree
+            found.append((rep[x[ok]], rep[y[ok]]))
+        if sum(len(x) for x, _ in found) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found]), pa.int64()) for k in (0, 1)], ["a", "b"])
+            found = []
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found]), pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, agree: int = 336, block: int = 256) -> DataFrame:
     """One row a row of ``df``: ``id_col``, ``n_shingles`` long, ``component_id`` long, ``kept`` boolean."""
     df = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = common.materialise(signatures(df, "id", "text", words, bands, rows), "minhash-signatures")
@@ -124,40 +209,43 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = common.materialise(full.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("rep")), "minhash-classes")
     keys = ["s1", "s2", "n_shingles"]
     reps = full.join(classes, keys).where("id = rep").select("rep", "n_shingles", F.explode("bands").alias("band"))
-    buckets = reps.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    members = common.materialise(reps.join(buckets, "band").distinct(), "minhash-buckets")
-    sizes = classes.select("rep", "n_shingles")
-    close = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # a linked pair's sizes are at least this close
+    first = F.min(F.struct("rep", "n_shingles"))
+    buckets = reps.groupBy("band").agg(first.alias("low"), F.max("rep").alias("high")).where("low.rep < high").select("band", F.col("low.rep").alias("low"), F.col("low.n_shingles").alias("m"))
+    members = common.materialise(reps.join(buckets, "band").select("band", "rep", "n_shingles", "low", "m").distinct(), "minhash-buckets")
+    sets = common.materialise(shingle_sets(df, members.select(F.col("rep").alias("id")).distinct(), words), "minhash-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        pairs = common.materialise(pairs.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b").where(close).select("a", "b").distinct(), "minhash-pairs")
-        used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = df.where("id is not null").select("id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes")).join(used, "id")
-        sets = common.materialise(shingle_sets(texts, words), "minhash-sets")
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        common_size = F.size(F.array_intersect("x", "y"))
-        return both.where(common_size * 100 >= (F.size("x") + F.size("y") - common_size) * percent).select("a", "b")
+        both = common.materialise(pairs, "minhash-pairs").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b")
 
     # Rows that share an id are one vertex.
     shared = full.join(classes, keys).where("id <> rep").select("id", "rep")
     same_id = full.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     shared = shared.join(same_id, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    stars = members.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(members.select(F.col("high").alias("a"), F.col("rep").alias("b")))
+    close = F.least("n_shingles", "m") * 100 >= F.greatest("n_shingles", "m") * percent  # a linked pair's sizes are at least this close
+    stars = members.where(close).select(F.col("low").alias("a"), F.col("rep").alias("b"))
     edges = common.materialise(verified(stars).union(shared), "minhash-links")
     label = common.materialise(common.components(edges), "minhash-labels")
 
-    def labelled(rows: DataFrame, col: str, to: str) -> DataFrame:
-        found = rows.join(label.select(F.col("id").alias(col), F.col("component").alias("__c")), col, "left")
-        return found.withColumn(to, F.coalesce("__c", col)).drop("__c")
-
-    open_ = common.materialise(labelled(labelled(members, "rep", "mine"), "low", "lead"), "minhash-open")
-    stray = open_.where("mine <> lead and rep <> high").select("band", F.col("rep").alias("a"), F.col("mine").alias("ca"), F.col("n_shingles").alias("n"))
-    other = open_.where("rep <> low and rep <> high").select("band", F.col("rep").alias("b"), F.col("mine").alias("cb"), F.col("n_shingles").alias("m"))
-    rest = stray.join(other, "band").where((F.col("ca") != F.col("cb")) & close).select("a", "b")
-    edges = common.materialise(edges.union(verified(rest)), "minhash-links")
-    final = common.materialise(common.components(edges), "minhash-components")
+    # What is left: members of a bucket that are in different components, without the one all others were compared with.
+    mine = members.where("rep <> low").join(label.toDF("rep", "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("mine"))
+    mine = common.materialise(mine, "minhash-open")
+    many = mine.groupBy("band").agg(F.min("mine").alias("x"), F.max("mine").alias("y"), F.count("*").alias("m")).where("x <> y").select("band", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    about = full.join(classes, keys).where("id = rep").select("rep", "n_shingles", "bands", "sig").dropDuplicates(["rep", "n_shingles"])
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.when(F.col("own") > o, 1).otherwise(0).alias("side")))
+    dealt = mine.join(many, "band").withColumn("own", own).join(about, "rep").withColumn("p", F.explode(pairs)).select("band", "p.i", "p.j", "p.side", "rep", "mine", "n_shingles", "bands", "sig")
+    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    more = verified(dealt.mapInArrow(lambda b: _match_blocks(b, percent, agree), "a long, b long"))
+    component_of = lambda c: F.coalesce("component", c).alias(c)
+    more = more.join(label.toDF("a", "component"), "a", "left").select(component_of("a"), "b").join(label.toDF("b", "component"), "b", "left").select("a", component_of("b"))
+    merged = common.components(common.materialise(more, "minhash-links"))
+    everyone = label.union(merged.select("id", F.col("id"))).distinct()
+    final = everyone.join(merged.toDF("component", "top"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    final = common.materialise(final.groupBy("id").agg(F.min("component").alias("component")), "minhash-components")
     named = classes.join(final, classes["rep"] == final["id"], "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
     answer = signed.select("id", *keys).join(named, keys, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
