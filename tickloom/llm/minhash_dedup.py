@@ -10,10 +10,10 @@ probability 5e-6, and less above it.
 
 Texts with equal shingle sets form one class; only class representatives are compared.
 In each bucket all members are first compared with the smallest one.
-Members of a bucket that aren't yet in one component are then matched by 512 more
+Members of a bucket that aren't yet in one component are then matched by 768 more
 coordinates of the same circulant signature, in blocks: a pair goes on to verification if
-at least ``agree`` of them are equal (a pair at the limit has 384 on average, and fewer
-than 336 with probability 1e-6) and the bucket is the first one that both share. So every
+at least ``agree`` of them are equal (a pair at the limit has 576 on average, and fewer
+than 519 with probability 1e-6) and the bucket is the first one that both share. So every
 candidate pair is either in one component, or verified on full sets, or ruled out by
 its signature, and no bucket is expanded into all its pairs. Shingle sets are made for
 members of shared buckets alone, found by a Bloom filter of fixed size; texts aren't
@@ -40,7 +40,7 @@ _WORD[[9, 10, 11, 12, 13, 32]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 UNIVERSE_BITS = 20
-MATCH = 512
+MATCH = 768
 
 
 def shingle_hashes(data: np.ndarray, at: np.ndarray, words: int) -> list[np.ndarray]:
@@ -201,7 +201,7 @@ def _match_blocks(batches: Iterator[pa.RecordBatch], percent: int, agree: int) -
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found]), pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, agree: int = 336, block: int = 256) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, agree: int = 519, block: int = 256) -> DataFrame:
     """One row a row of ``df``: ``id_col``, ``n_shingles`` long, ``component_id`` long, ``kept`` boolean."""
     df = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = common.materialise(signatures(df, "id", "text", words, bands, rows), "minhash-signatures")
