@@ -57,9 +57,8 @@ def mask_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the digest of the bytes they decode to."""
     path, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), token_pattern()
-    encoded = byte_bpe.encode(_fixed(docs), path, pattern).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
-    decoded = byte_bpe.decode(encoded, path, pattern, keep=("doc_id", "ids", "n_tokens"))
-    return decoded.select("doc_id", "n_tokens", "ids", hex_digest(F.col("decoded")).alias("decoded_sha256"))
+    done = byte_bpe.round_trip(_fixed(docs), path, pattern)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", hex_digest(F.col("decoded")).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", drop_toxic), ("minhash_dedup", drop_near_duplicates), ("suffix_dedup", cut_repeats), ("decontaminate", mask_benchmarks), ("byte_bpe", encode)]

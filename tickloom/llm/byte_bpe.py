@@ -111,7 +111,22 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep:
             ids = common.list_array(np.concatenate([*found, np.zeros(0, np.int32)]), np.array([len(x) for x in found]), pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*keep, "ids"])
 
-    return source.mapInArrow(run, schema)
+    return common.arrow_map(source, run, schema)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), leaf: int = 8192) -> DataFrame:
+    """``encode`` and ``decode`` in one pass: ``keep`` columns plus ``ids`` and ``decoded``."""
+    source = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.BinaryType(), False)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = codec(path, pattern, leaf)
+        for batch in common.slices(batches, "__text"):
+            found = [tree.encode(x or "") for x in common.column(batch, "__text").to_pylist()]
+            ids = common.list_array(np.concatenate([*found, np.zeros(0, np.int32)]), np.array([len(x) for x in found]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, pa.array([tree.decode(x) for x in found], pa.binary())], [*keep, "ids", "decoded"])
+
+    return common.arrow_map(source, run, T.StructType([*source.schema.fields[:-1], *added]))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), leaf: int = 8192) -> DataFrame:
@@ -130,4 +145,4 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", keep: t
                 out = [tree.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], [*keep, "decoded"])
 
-    return source.mapInArrow(run, schema)
+    return common.arrow_map(source, run, schema)

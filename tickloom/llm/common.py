@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; bounds its temporary arrays.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between the JVM and a worker; bounds both sides' buffers, however long the texts are.
+ARROW_BYTES = 8 << 20
+
+
+def arrow_map(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes; a worker gives freed memory back to the system when a task ends."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (null: empty) and its n+1 offsets into them, without copying a text."""
     if column.null_count:
@@ -92,7 +120,7 @@ class PowerTable:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, SLICE_BYTES * 2)
+            size = max(n, SLICE_BYTES + 1)
             inverse = pow(_BASE, -1, 1 << 64)
             for name, base in (("up", _BASE), ("down", inverse)):
                 steps = np.full(size, base, np.uint64)
@@ -170,7 +198,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return names.join(least, "top").select("id", "component")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, chosen, id_col: str, text_col: str, label_col: str, most_rows: int, most_bytes: int) -> tuple[list[bytes], list[int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, chosen, id_col: str, text_col: str, label_col: str, most_rows: int, most_bytes: int) -> tuple[Iterator[bytes], list[int]]:
     """Training texts and labels: ids with a label for which ``chosen`` holds, the ``most_rows`` of least id hash, texts
     of up to ``most_bytes`` bytes. Its size is bounded by these parameters whatever the tables hold."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -179,4 +207,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, chosen, id_col: str, tex
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("__b"))
     rows = texts.where(F.octet_length("__b") <= most_bytes).join(F.broadcast(known), "__id")
     table = rows.orderBy(F.xxhash64("__id"), "__id", "__b").limit(most_rows).select("__b", "__y").toArrow()
-    return table["__b"].to_pylist(), table["__y"].to_pylist()
+    return (x.as_py() for chunk in table["__b"].chunks for x in chunk), table["__y"].to_pylist()

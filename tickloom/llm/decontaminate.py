@@ -134,8 +134,8 @@ def find(df: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: tupl
 
     first = True
     for patterns in _shards(benchmark, item_id, item_text, width, shard_bytes):
-        flat = flat.mapInArrow(stage(spark.sparkContext.broadcast(patterns), first), out)
+        flat = common.arrow_map(flat, stage(spark.sparkContext.broadcast(patterns), first), out)
         first = False
     if first:
-        flat = flat.mapInArrow(stage(spark.sparkContext.broadcast({}), True), out)
+        flat = common.arrow_map(flat, stage(spark.sparkContext.broadcast({}), True), out)
     return flat.drop("__text")

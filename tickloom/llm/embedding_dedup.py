@@ -159,7 +159,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                     yield pa.RecordBatch.from_arrays([common.column(part, "cid"), common.column(part, "mult"), common.column(part, "label"), common.list_array(x.ravel(), np.full(len(mine), dims), pa.float64()), lists], ["cid", "mult", "label", "vector", "leaves"])
 
     kind = classes.schema["label"].dataType.simpleString()
-    routed = classes.mapInArrow(route, f"cid long, mult long, label {kind}, vector array<double>, leaves array<long>")
+    routed = common.arrow_map(classes, route, f"cid long, mult long, label {kind}, vector array<double>, leaves array<long>")
     routed = common.materialise(routed.withColumn("dims", F.size("vector")), "vector-leaves")
     spread = routed.select("*", F.explode("leaves").alias("leaf"))
     counts = routed.select("label", "dims", F.explode("leaves").alias("leaf")).groupBy("label", "dims", "leaf").agg(F.count("*").alias("m")).where("m > 1")

@@ -120,7 +120,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, bands: int
             yield pa.RecordBatch.from_arrays([common.column(batch, "id"), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, sums), lists, pa.array([maker.match_bytes(x) if len(x) else b"" for x in sets], pa.binary())], ["id", "n_shingles", "s1", "s2", "bands", "sig"])
 
     kind = source.schema["id"].dataType
-    return source.mapInArrow(run, T.StructType([T.StructField("id", kind), *T._parse_datatype_string("n_shingles long, s1 long, s2 long, bands array<long>, sig binary").fields]))
+    return common.arrow_map(source, run, T.StructType([T.StructField("id", kind), *T._parse_datatype_string("n_shingles long, s1 long, s2 long, bands array<long>, sig binary").fields]))
 
 
 def id_filter(ids: DataFrame, bits: int = 1 << 26) -> np.ndarray:
@@ -150,7 +150,7 @@ def shingle_sets(df: DataFrame, used: DataFrame, words: int) -> DataFrame:
             lists = common.list_array(np.concatenate(sets).view(np.int64), np.array([len(x) for x in sets]), pa.int64())
             yield pa.RecordBatch.from_arrays([common.column(part, "id"), lists], ["id", "shingles"])
 
-    return source.mapInArrow(run, "id long, shingles array<long>")
+    return common.arrow_map(source, run, "id long, shingles array<long>")
 
 
 def _match_blocks(batches: Iterator[pa.RecordBatch], percent: int, agree: int) -> Iterator[pa.RecordBatch]:
@@ -239,7 +239,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.when(F.col("own") > o, 1).otherwise(0).alias("side")))
     dealt = mine.join(many, "band").withColumn("own", own).join(about, "rep").withColumn("p", F.explode(pairs)).select("band", "p.i", "p.j", "p.side", "rep", "mine", "n_shingles", "bands", "sig")
     dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    more = verified(dealt.mapInArrow(lambda b: _match_blocks(b, percent, agree), "a long, b long"))
+    more = verified(common.arrow_map(dealt, lambda b: _match_blocks(b, percent, agree), "a long, b long"))
     component_of = lambda c: F.coalesce("component", c).alias(c)
     more = more.join(label.toDF("a", "component"), "a", "left").select(component_of("a"), "b").join(label.toDF("b", "component"), "b", "left").select("a", component_of("b"))
     merged = common.components(common.materialise(more, "minhash-links"))

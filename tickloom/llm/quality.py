@@ -15,7 +15,7 @@ chunk of padding. Repeated rows are each scored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,7 +108,8 @@ def pool(chunk: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate([mean, np.maximum.reduceat(chunk, first[:-1], axis=1)]).T.astype(np.float64)
 
 
-def train(texts: list[bytes], labels: list[int], filters: int = 8, epochs: int = 6, batch: int = 64, rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> Network:
+def train(texts: Iterable[bytes], labels: list[int], filters: int = 8, epochs: int = 6, batch: int = 64, rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> Network:
+    texts = list(texts)
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.3, (TAPS, 256, filters)), np.zeros(filters), rng.normal(0, 0.1, 2 * (filters + 1)), 0.0)
     if not texts:
@@ -174,4 +175,4 @@ def score(df: DataFrame, network: Network, text_col: str = "text", keep: tuple[s
             p = net.score(*common.byte_view(common.column(batch, "__bytes")), tables)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], [*keep, "score"])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType(), False)]))
+    return common.arrow_map(source, run, T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType(), False)]))

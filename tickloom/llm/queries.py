@@ -52,10 +52,9 @@ def hex_digest(x: Column) -> Column:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), token_pattern()
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
-    named = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), hex_digest(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_sha256"))
-    decoded = byte_bpe.decode(named, path, pattern, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", hex_digest(F.col("decoded")).alias("decoded_sha256"))
+    done = byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hex_digest(ids).alias("ids_sha256"), hex_digest(F.col("decoded")).alias("decoded_sha256"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from tickloom.llm import common, induced
 DEPTH = 400
 GRAM = 32
 #: Bytes of text that a task sorts at once; a single anchor's windows may exceed it.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 def window_anchors(data: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +144,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     copies = long.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("uid").alias("uid"))
     copies = common.materialise(copies, "suffix-texts")
 
-    anchors = long.select("k1", "k2", "bytes").mapInArrow(lambda b: _anchors(b, depth, gram), "h long, k1 long, k2 long, start int, n int, repeats boolean")
+    anchors = common.arrow_map(long.select("k1", "k2", "bytes"), lambda b: _anchors(b, depth, gram), "h long, k1 long, k2 long, start int, n int, repeats boolean")
     anchors = common.materialise(anchors, "suffix-anchors")
     place = F.struct("k1", "k2", "start")
     ends = (F.min(place).alias("p"), F.max(place).alias("q"))
@@ -152,12 +152,12 @@ def repeated_spans(df: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     runs = anchors.join(again, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "start", "n")).alias("runs"))
 
     chosen = long.select("k1", "k2", "uid", "bytes").join(runs.join(copies, ["k1", "k2"]), ["k1", "k2", "uid"])
-    found = chosen.select("k1", "k2", "runs", "bytes").mapInArrow(lambda b: _contexts(b, depth), "h long, k1 long, k2 long, start int, context binary")
+    found = common.arrow_map(chosen.select("k1", "k2", "runs", "bytes"), lambda b: _contexts(b, depth), "h long, k1 long, k2 long, start int, context binary")
     contexts = common.materialise(found.withColumn("c", F.xxhash64("context")), "suffix-contexts")
     # Equal contexts are sorted once; map-side aggregation merges those of a hot anchor before the shuffle.
     unique = contexts.groupBy("h", "c", "context").agg(*ends).select("h", "c", "context", (F.col("p") != F.col("q")).alias("many"))
     shards = unique.repartition("h").sortWithinPartitions("h")
-    verdicts = shards.mapInArrow(lambda b: _sort_shards(b, depth, shard_bytes, memory), "h long, c long, runs array<struct<a: int, b: int>>")
+    verdicts = common.arrow_map(shards, lambda b: _sort_shards(b, depth, shard_bytes, memory), "h long, c long, runs array<struct<a: int, b: int>>")
     told = contexts.select("h", "c", "k1", "k2", "start").join(verdicts, ["h", "c"]).select("k1", "k2", F.expr("transform(runs, r -> struct(r.a + start as a, r.b + start as b))").alias("runs"))
     spans = told.groupBy("k1", "k2").agg(F.flatten(F.collect_set("runs")).alias("runs"))
 
@@ -167,7 +167,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", keep: tuple[str, ...]
             out = [_merged([(r["a"], r["b"]) for r in x]) for x in common.column(b, "runs").to_pylist()]
             yield pa.RecordBatch.from_arrays([common.column(b, "k1"), common.column(b, "k2"), pa.array(out, kind)], ["k1", "k2", "part"])
 
-    merged = spans.mapInArrow(merge, f"k1 long, k2 long, part {_SPANS}")
+    merged = common.arrow_map(spans, merge, f"k1 long, k2 long, part {_SPANS}")
     told = common.materialise(copies.where("copies > 1").join(merged, ["k1", "k2"], "full").select("k1", "k2", F.coalesce(F.col("copies") > 1, F.lit(False)).alias("whole"), "part"), "suffix-spans")
     out = texts.join(told, ["k1", "k2"], "left")
     everything = F.array(F.struct(F.lit(0).alias("start"), F.octet_length("bytes").alias("end")))
@@ -187,7 +187,7 @@ def kept_bytes(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(common.column(batch, x) for x in (*keep, "spans")), pa.array(out, pa.binary())], [*keep, "spans", "kept"])
 
     source = df.select(*keep, "spans", "bytes")
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("kept", T.BinaryType())]))
+    return common.arrow_map(source, run, T.StructType([*source.schema.fields[:-1], T.StructField("kept", T.BinaryType())]))
 
 
 def whole_characters(kept: Column) -> Column:

@@ -98,4 +98,4 @@ def token_counts(df: DataFrame, path: str, text_col: str = "text", keep: tuple[s
             counts = _COUNTERS[key].count([x or "" for x in texts.to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(at), pa.int64()), pa.array(counts, pa.int64())], [*keep, "n_bytes", "n_tokens"])
 
-    return source.mapInArrow(run, schema)
+    return common.arrow_map(source, run, schema)

@@ -13,7 +13,7 @@ a null label aren't trained on; repeated rows are each scored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,14 +77,14 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_cached"}
 
 
-def train(texts: list[bytes], labels: list[int], bits: int = 22, epochs: int = 5, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.05, seed: int = 3) -> Model:
+def train(texts: Iterable[bytes], labels: list[int], bits: int = 22, epochs: int = 5, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.05, seed: int = 3) -> Model:
     """FTRL-proximal: z and n for each coordinate; the weight follows from them when it is used."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias_z = bias_n = 0.0
     sets = []
     for text in texts:
         data = np.frombuffer(text, np.uint8)
-        sets.append(np.unique(features(data, np.array([0, len(data)]), bits)[1]) if len(data) else np.zeros(0, np.int64))
+        sets.append(np.unique(features(data, np.array([0, len(data)]), bits)[1]).astype(np.int32) if len(data) else np.zeros(0, np.int32))
 
     def weight(z_at, n_at, l1_at):
         return np.where(np.abs(z_at) <= l1_at, 0.0, (np.sign(z_at) * l1_at - z_at) / ((beta + np.sqrt(n_at)) / alpha + l2))
@@ -121,4 +121,4 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str,
             p = shared.value.score(*common.byte_view(common.column(batch, "__bytes")))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], [*keep, "score"])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType(), False)]))
+    return common.arrow_map(source, run, T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType(), False)]))

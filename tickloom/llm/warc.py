@@ -110,7 +110,7 @@ def write_archive(chunks: DataFrame, folder: str, min_bytes: int = 1000, file_by
             done.append((path, records))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], ["file", "n_records"])
 
-    return common.materialise(told.mapInArrow(run, "file string, n_records long"), "warc-manifest")
+    return common.materialise(common.arrow_map(told, run, "file string, n_records long"), "warc-manifest")
 
 
 class _Member:
@@ -195,4 +195,4 @@ def read_archive(spark: SparkSession, manifest: DataFrame, folder: str, step: in
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = manifest.select("file")
-    return files.repartition(max(1, min(10_000, files.count())), "file").mapInArrow(run, _RESULT)
+    return common.arrow_map(files.repartition(max(1, min(10_000, files.count())), "file"), run, _RESULT)
