@@ -65,17 +65,21 @@ class Network:
         pair = lambda a, b: np.ascontiguousarray((self.taps[b][:, None, :] + self.taps[a][None, :, :]).reshape(65536, -1).T.astype(np.float32))
         return pair(0, 1), pair(2, 3)
 
-    def respond(self, padded: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    def respond(self, padded: np.ndarray, tables: tuple[np.ndarray, np.ndarray], ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each filter's response at each byte; ``ends`` are the ends of texts in blocks, where filters would see the next text."""
         n = len(padded) - TAPS
+        over = (ends[:, None] * BLOCK - np.arange(1, TAPS)).ravel()
         pairs = padded[:-1].astype(np.uint16) | (padded[1:].astype(np.uint16) << 8)
         for f in range(len(self.bias)):
-            yield f, (tables[0][f].take(pairs[:n]) + tables[1][f].take(pairs[2 : n + 2])).reshape(-1, BLOCK)
+            out = tables[0][f].take(pairs[:n]) + tables[1][f].take(pairs[2 : n + 2])
+            out[over] = tables[0][f][0] + tables[1][f][0]
+            yield f, out.reshape(-1, BLOCK)
 
     def pooled(self, data: np.ndarray, at: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """texts x 2 * (filters + 1)"""
         padded, start, end, first = layout(data, at)
         top = np.empty((len(self.bias) + 1, (len(padded) - TAPS) // BLOCK), np.float32)
-        for f, out in self.respond(padded, tables):
+        for f, out in self.respond(padded, tables, end[first[1:] - 1]):
             top[f] = out.max(axis=1)
         chunk = np.empty((len(self.bias) + 1, len(start)), np.float32)
         chunk[:-1] = np.maximum(_reduce(np.maximum, top[:-1], start, end) + self.bias[:, None], 0)
@@ -127,7 +131,7 @@ def train(texts: Iterable[bytes], labels: list[int], filters: int = 8, epochs: i
             tables = net.tables()
             chunk = np.zeros((filters + 1, len(start)), np.float32)
             where = np.zeros((filters, len(start)), np.int64)
-            for f, out in net.respond(padded, tables):
+            for f, out in net.respond(padded, tables, end[first[1:] - 1]):
                 inner, top = out.argmax(axis=1), out.max(axis=1)
                 best = _reduce(np.maximum, top, start, end)
                 for k in range(CHUNK):
