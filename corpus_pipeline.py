@@ -42,13 +42,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by repeated 400-byte strings are cut. A character of which a byte is cut goes entirely. Documents
     of which nothing but white space is left are removed; those that were blank before stay."""
     spans = suffix_dedup.repeated_spans(_fixed(docs), keep=COLUMNS)
-    cut = suffix_dedup.kept_bytes(spans, keep=COLUMNS)
-    cut = cut.select("doc_id", suffix_dedup.whole_characters(F.col("kept")).alias("cut"), "text", "lang", "source", "spans")
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("cut"))
-    return _with_text(cut.where((F.size("spans") == 0) | (F.trim("cut") != "")), text)
+    cut = suffix_dedup.kept_bytes(spans, keep=COLUMNS, whole_characters=True).withColumn("cut", F.col("kept").cast("string"))
+    left = cut.where((F.size("spans") == 0) | F.col("cut").rlike(r"\S"))
+    return _with_text(left, F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("cut")))
 
 
-def mask_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark window occurs are removed."""
     found = decontaminate.find(_fixed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS)
     return found.where(F.size("spans") == 0).select(*COLUMNS)
@@ -61,7 +60,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", hex_digest(F.col("decoded")).alias("decoded_sha256"))
 
 
-STAGES = [("toxicity", drop_toxic), ("minhash_dedup", drop_near_duplicates), ("suffix_dedup", cut_repeats), ("decontaminate", mask_benchmarks), ("byte_bpe", encode)]
+STAGES = [("toxicity", drop_toxic), ("minhash_dedup", drop_near_duplicates), ("suffix_dedup", cut_repeats), ("decontaminate", drop_contaminated), ("byte_bpe", encode)]
 
 #: SQL can't express the trained model of the first stage, so the rows of run() are tested against a brute-force version.
 ORACLE_SQL = None

@@ -23,9 +23,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,26 +174,30 @@ def repeated_spans(df: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     return out.select(*keep, "bytes", F.when(F.col("whole"), everything).otherwise(F.coalesce("part", none)).alias("spans"))
 
 
-def kept_bytes(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """From ``repeated_spans``: ``keep`` columns, ``spans`` and ``kept`` (binary, the bytes outside of the spans)."""
+def kept_bytes(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), whole_characters: bool = False) -> DataFrame:
+    """From ``repeated_spans``: ``keep`` columns, ``spans`` and ``kept`` (binary, the bytes outside of the spans).
+
+    With ``whole_characters`` a UTF-8 character goes entirely if a span covers any of its bytes, so that valid text stays
+    valid and no character is put together from parts of two.
+    """
+
+    def widened(text: bytes, a: int, b: int) -> tuple[int, int]:
+        while 0 < a < len(text) and text[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(text) and text[b] & 0xC0 == 0x80:
+            b += 1
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "bytes"):
             out = []
             for text, spans in zip(common.column(batch, "bytes").to_pylist(), common.column(batch, "spans").to_pylist(), strict=True):
-                edge = [0, *(x for s in spans for x in (s["start"], s["end"])), len(text)]
+                cuts = [(s["start"], s["end"]) for s in spans]
+                if whole_characters:
+                    cuts = [widened(text, a, b) for a, b in cuts]
+                edge = [0, *(x for s in cuts for x in s), len(text)]
                 out.append(b"".join(text[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([*(common.column(batch, x) for x in (*keep, "spans")), pa.array(out, pa.binary())], [*keep, "spans", "kept"])
 
     source = df.select(*keep, "spans", "bytes")
     return common.arrow_map(source, run, T.StructType([*source.schema.fields[:-1], T.StructField("kept", T.BinaryType())]))
-
-
-def whole_characters(kept: Column) -> Column:
-    """Bytes as a string without the parts of characters that a span has cut through."""
-
-    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in parts:
-            yield x.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return F.pandas_udf(clean, "string")(kept)
