@@ -198,13 +198,17 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return names.join(least, "top").select("id", "component")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, chosen, id_col: str, text_col: str, label_col: str, most_rows: int, most_bytes: int) -> tuple[Iterator[bytes], list[int]]:
-    """Training texts and labels: ids with a label for which ``chosen`` holds, the ``most_rows`` of least id hash, texts
-    of up to ``most_bytes`` bytes. Its size is bounded by these parameters whatever the tables hold."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, chosen, id_col: str, text_col: str, label_col: str, most_rows: int, most_bytes: int) -> Iterator[tuple[int, bytes, int]]:
+    """Training rows (order, text, label): the ``most_rows`` labelled ids of least hash for which ``chosen`` holds, with
+    texts of up to ``most_bytes`` bytes. Of rows that share an id the least text counts. Its size is bounded by these
+    parameters whatever the tables hold; the driver reads it a partition at a time. ``order`` is unique and doesn't
+    depend on partitions: sort by it."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = (known if chosen is None else known.where(chosen)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
     known = known.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(most_rows)
+    known = known.withColumn("__order", F.xxhash64("__id"))
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("__b"))
     rows = texts.where(F.octet_length("__b") <= most_bytes).join(F.broadcast(known), "__id")
-    table = rows.orderBy(F.xxhash64("__id"), "__id", "__b").limit(most_rows).select("__b", "__y").toArrow()
-    return (x.as_py() for chunk in table["__b"].chunks for x in chunk), table["__y"].to_pylist()
+    rows = rows.groupBy("__id", "__order", "__y").agg(F.min("__b").alias("__b")).coalesce(16)
+    for r in materialise(rows, "labelled-sample").select("__order", "__b", "__y").toLocalIterator():
+        yield r[0], bytes(r[1]), r[2]

@@ -112,13 +112,14 @@ def pool(chunk: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate([mean, np.maximum.reduceat(chunk, first[:-1], axis=1)]).T.astype(np.float64)
 
 
-def train(texts: Iterable[bytes], labels: list[int], filters: int = 8, epochs: int = 6, batch: int = 64, rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> Network:
-    texts = list(texts)
+def train(rows: Iterable[tuple[int, bytes, int]], filters: int = 8, epochs: int = 6, batch: int = 64, rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> Network:
+    sample = sorted(rows, key=lambda x: x[0])
+    texts = [x[1] for x in sample]
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.3, (TAPS, 256, filters)), np.zeros(filters), rng.normal(0, 0.1, 2 * (filters + 1)), 0.0)
     if not texts:
         return net
-    y = np.asarray(labels, float)
+    y = np.array([x[2] for x in sample], float)
     state = [np.zeros_like(x) for x in (net.taps, net.bias, net.weights, np.zeros(1))]
     power = [np.zeros_like(x) for x in state]
     turn = 0
@@ -164,7 +165,9 @@ def train(texts: Iterable[bytes], labels: list[int], filters: int = 8, epochs: i
 
 def fit(docs: DataFrame, labels: DataFrame, chosen: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 4000, most_bytes: int = 1 << 16, **options) -> Network:
     """Train on at most ``most_rows`` labelled rows for which ``chosen`` (a condition on the id column) holds."""
-    return train(*common.labelled_sample(docs, labels, chosen, id_col, text_col, label_col, most_rows, most_bytes), **options)
+    network = train(common.labelled_sample(docs, labels, chosen, id_col, text_col, label_col, most_rows, most_bytes), **options)
+    common.release()
+    return network
 
 
 def score(df: DataFrame, network: Network, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

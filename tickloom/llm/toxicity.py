@@ -77,14 +77,18 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_cached"}
 
 
-def train(texts: Iterable[bytes], labels: list[int], bits: int = 22, epochs: int = 5, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.05, seed: int = 3) -> Model:
-    """FTRL-proximal: z and n for each coordinate; the weight follows from them when it is used."""
+def train(rows: Iterable[tuple[int, bytes, int]], bits: int = 22, epochs: int = 5, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.05, seed: int = 3) -> Model:
+    """FTRL-proximal: z and n for each coordinate; the weight follows from them when it is used.
+
+    ``rows`` are (order, text, label); of a text only its places are held.
+    """
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias_z = bias_n = 0.0
     sets = []
-    for text in texts:
+    for order, text, label in rows:
         data = np.frombuffer(text, np.uint8)
-        sets.append(np.unique(features(data, np.array([0, len(data)]), bits)[1]).astype(np.int32) if len(data) else np.zeros(0, np.int32))
+        sets.append((order, np.unique(features(data, np.array([0, len(data)]), bits)[1]).astype(np.int32) if len(data) else np.zeros(0, np.int32), label))
+    sets.sort(key=lambda x: x[0])
 
     def weight(z_at, n_at, l1_at):
         return np.where(np.abs(z_at) <= l1_at, 0.0, (np.sign(z_at) * l1_at - z_at) / ((beta + np.sqrt(n_at)) / alpha + l2))
@@ -92,10 +96,10 @@ def train(texts: Iterable[bytes], labels: list[int], bits: int = 22, epochs: int
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(sets)):
-            at = sets[i]
+            _, at, label = sets[i]
             w, b = weight(z[at], n[at], l1), float(weight(np.float64(bias_z), np.float64(bias_n), 0.0))
             p = 1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35)))
-            g = p - labels[i]
+            g = p - label
             new = n[at] + g * g
             z[at] += g - (np.sqrt(new) - np.sqrt(n[at])) / alpha * w
             n[at] = new
@@ -107,8 +111,9 @@ def train(texts: Iterable[bytes], labels: list[int], bits: int = 22, epochs: int
 
 def fit(docs: DataFrame, labels: DataFrame, chosen: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_bytes: int = 1 << 16, **options) -> Model:
     """Train on at most ``most_rows`` labelled rows for which ``chosen`` (a condition on the id column) holds."""
-    texts, ys = common.labelled_sample(docs, labels, chosen, id_col, text_col, label_col, most_rows, most_bytes)
-    return train(texts, ys, **options)
+    model = train(common.labelled_sample(docs, labels, chosen, id_col, text_col, label_col, most_rows, most_bytes), **options)
+    common.release()
+    return model
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
