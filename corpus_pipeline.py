@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and all that its predecessor kept; all but the
 last return the columns of ``documents``. Rows with a null or repeated doc_id pass each
-stage like any other row (near-dedup: rows that share an id stay or go together).
+stage like any other row; only short rows that repeat id and text stay together in near-dedup.
 """
 
 from __future__ import annotations
@@ -32,10 +32,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    docs = _fixed(docs)
-    gone = minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near-duplicate rows the one with the smallest id stays, null ids last. Rows that repeat its id and
+    its text stay with it if the next stage can't cut them, being shorter than its windows."""
+    key, short = F.monotonically_increasing_id(), F.octet_length("text") < suffix_dedup.DEPTH
+    docs = common.materialise(_fixed(docs).select(key.alias("row"), *COLUMNS), "pipeline-rows")
+    found = minhash_dedup.near_duplicates(docs, "row").select("row", F.col("component_id").alias("component"))
+    about = docs.select("row", "doc_id", F.when(short & F.col("doc_id").isNotNull(), F.sha2(F.col("text").cast("binary"), 256)).alias("same"))
+    rows = common.materialise(found.join(about, "row"), "pipeline-components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "same")).alias("first")
+    kept = common.materialise(rows.groupBy("component").agg(first).select("component", "first.*"), "pipeline-kept")
+    again = rows.join(kept.where("same is not null").select("component", "doc_id", "same"), ["component", "doc_id", "same"])
+    return docs.join(kept.select("row").union(again.select("row")).distinct(), "row", "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,6 +146,21 @@ def test_run(spark, tmp_path):
     assert all(r.n_tokens == len(r.ids) for r in got)
 
 
+def test_repeated_rows(spark, tmp_path):
+    """Of each text that repeats under one id, under null ids or under both one copy stays."""
+    once, null, both, near, short = prose(150, 1), prose(150, 2), prose(150, 3), prose(150, 4), prose(20, 5)
+    rows = [(1, once), (1, once), (None, null), (None, null), (None, both), (3, both), (4, near), (4, near + " end"), (None, "start " + near)]
+    rows += [(5, short), (5, short), (6, short), (None, short), (7, prose(150, 6)), (7, prose(150, 7)), (None, None), (None, None), (8, ""), (8, "")]
+    tables(spark, tmp_path, [(*r, None, None, None) for r in rows], [], [])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = collections.Counter([rows[0], rows[2], rows[5], (5, short), (5, short), rows[13], rows[14], *rows[15:]])
+    single = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    kept = single - want
+    assert want <= single and len(kept) == 1 and kept.keys() <= {rows[6], rows[7]}
+    got = collections.Counter((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == collections.Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in single.elements())
+
+
 def test_empty_run(spark, tmp_path):
     tables(spark, tmp_path, [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
