@@ -210,3 +210,13 @@ def test_warc(spark):
         data = (html or "").encode()
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
     assert (got[1].record_type, got[1].refers_to, got[2].record_type, got[None].refers_to, got[3].record_type, got[4].record_type) == ("revisit", 2, "response", 2, "response", "response")
+
+
+def test_warc_repeated_rows(spark):
+    big = words(300_000, 2)
+    assert len(big) > 1 << 20
+    pages = spark.createDataFrame([(1, "u", big)] * 2 + [(None, "v", "x" + big)] * 2, "page_id long, url string, html string")
+    folder = common.fresh_path(spark, "warc-test")
+    got = warc.read_archive(spark, warc.write_archive(warc.chunk_table(pages), folder), folder).collect()
+    digests = [hashlib.sha1(x.encode()).hexdigest() for x in (big, "x" + big)]
+    assert collections.Counter((r.page_id, r.payload_digest, r.record_type) for r in got) == {(1, digests[0], "response"): 2, (None, digests[1], "response"): 2}

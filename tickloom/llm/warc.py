@@ -37,12 +37,13 @@ _RESULT = "page_id long, url string, payload_bytes long, payload_digest string,
 
 
 def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk_bytes: int = 1 << 20) -> DataFrame:
-    """(page_id, url, digest, n_bytes, chunk, n_chunks, data): the payloads in UTF-8, cut into chunks."""
+    """(record, page_id, url, digest, n_bytes, chunk, n_chunks, data): the payloads in UTF-8, cut into chunks; ``record``
+    tells rows apart that are equal in everything else."""
     raw = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    raw = raw.withColumns({"digest": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long")})
+    raw = raw.withColumns({"record": F.monotonically_increasing_id(), "digest": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long")})
     last = F.greatest(F.ceil(F.col("n_bytes") / chunk_bytes).cast("int"), F.lit(1)) - 1
     cut = raw.withColumn("n_chunks", last + 1).withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
-    return cut.select("page_id", "url", "digest", "n_bytes", "chunk", "n_chunks", F.when(F.col("n_chunks") == 1, F.col("payload")).otherwise(F.substring("payload", F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))).alias("data"))
+    return cut.select("record", "page_id", "url", "digest", "n_bytes", "chunk", "n_chunks", F.when(F.col("n_chunks") == 1, F.col("payload")).otherwise(F.substring("payload", F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))).alias("data"))
 
 
 def _name(page_id: int | None) -> str:
@@ -72,8 +73,8 @@ def write_archive(chunks: DataFrame, folder: str, min_bytes: int = 1000, file_by
     owners = first.groupBy(F.col("digest").alias("o_digest"), F.col("n_bytes").alias("o_bytes")).agg(F.max("page_id").alias("owner"), F.count("*").alias("copies")).where("copies > 1")
     told = chunks.join(owners, (chunks["digest"] == owners["o_digest"]) & (chunks["n_bytes"] == owners["o_bytes"]), "left")
     told = told.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")))
-    told = told.where("refers_to is null or chunk = 0").select("page_id", "url", "digest", "n_bytes", "chunk", "n_chunks", F.expr("if(refers_to is null, data, null)").alias("data"), "refers_to")
-    told = told.sortWithinPartitions("page_id", "digest", "url", "chunk")
+    told = told.where("refers_to is null or chunk = 0").select("record", "page_id", "url", "digest", "n_bytes", "chunk", "n_chunks", F.expr("if(refers_to is null, data, null)").alias("data"), "refers_to")
+    told = told.sortWithinPartitions("page_id", "record", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
