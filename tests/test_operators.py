@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom import queries
 from tickloom.contracts import require_columns
 from tickloom.operators import bars, fracdiff, joins, labeling, sizing, synthetic, validation, weights
 from tickloom.sources.trades import normalise_trades, output_path
@@ -169,3 +170,27 @@ def test_stream_equals_batch(spark, tmp_path):
     run.awaitTermination(120)
     cols = ["bar_id", "open", "high", "low", "close", "volume", "ticks", "buy_volume", "sell_volume"]
     assert spark.table("bars_out").select(cols).orderBy("bar_id").collect() == bars.dollar_bars(df, 40.0).ohlcv.select(cols).orderBy("bar_id").collect()
+
+
+def write_events(spark, folder, series):
+    rows = [(i * 10_000 + j, DAY + dt.timedelta(hours=j), 1, k, float(x), "{\"k\": 1}") for i, (k, xs) in enumerate(series.items()) for j, x in enumerate(xs)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+
+
+def test_least_difference_order_query(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    series = {k: np.exp(4 + np.cumsum(rng.normal(0, 0.05, 150))) for k in "ab"}
+    write_events(spark, tmp_path, series)
+    got = {(r.symbol, round(r.d, 6)): r for r in queries.queries()["least_difference_order"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(k, i / 10) for k in "ab" for i in range(11)}
+    for (k, d), r in got.items():
+        w = [1.0]
+        while abs(x := -w[-1] * (d - len(w) + 1) / len(w)) >= 0.01:
+            w.append(x)
+        y = np.log(series[k])
+        z = np.array([np.dot(w, y[i - len(w) + 1 : i + 1][::-1]) for i in range(len(w) - 1, len(y))])
+        dz = np.diff(z)
+        x = np.column_stack([z[1:-1], dz[:-1], np.ones(len(dz) - 1)])
+        beta = np.linalg.lstsq(x, dz[1:], rcond=None)[0]
+        se = math.sqrt(((dz[1:] - x @ beta) ** 2).sum() / (len(x) - 3) * np.linalg.inv(x.T @ x)[0, 0])
+        assert (r.n_obs, r.stat, r.corr) == (len(x), pytest.approx(beta[0] / se, abs=1e-4), pytest.approx(np.corrcoef(z, y[len(w) - 1 :])[0, 1], abs=1e-5))

@@ -275,7 +275,7 @@ def fracdiff_expanding(spark, sf_dir):
 
 @query()
 def least_difference_order(spark, sf_dir):
-    return _round(fracdiff.least_order(_closes(spark, sf_dir), 0.05, [0.0, 0.5, 1.0]))
+    return _round(fracdiff.least_order(_closes(spark, sf_dir)))
 
 
 def _dates(spark, sf_dir):
