@@ -31,6 +31,16 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b in floating-point arithmetic: a zero divisor gives an infinity, 0 / 0 NaN."""
+    return F.when(b == 0, a.cast("double") * F.lit(math.inf)).otherwise(F.try_divide(a, b))
+
+
+def log(x: Column) -> Column:
+    """Natural logarithm, minus infinity at 0; null below."""
+    return F.when(x == 0, F.lit(-math.inf)).otherwise(F.ln(x))
+
+
 def running(keys: list[str], *order: str) -> WindowSpec:
     """All rows up to the current one."""
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import ordered
+from tickloom.functions.columns import ordered, quotient
 from tickloom.operators import bars, fracdiff, joins, labeling, overfitting, sizing, synthetic, validation, weights
 from tickloom.plans import models
 from tickloom.sources.trades import normalise_trades, trades_from_events
@@ -45,7 +45,7 @@ def _events(closes: DataFrame) -> DataFrame:
     """Every 20th bar, ten bars long; the return over five bars gives the target and the side."""
     w = ordered(["symbol"], "ts")
     rows = closes.withColumns({"n": F.row_number().over(w), "t1": F.lead("ts", 10).over(w), "was": F.lag("close", 5).over(w)})
-    ret = F.col("close") / F.col("was") - 1
+    ret = quotient(F.col("close"), F.col("was")) - 1
     return rows.where("n % 20 = 0").select("symbol", F.col("ts").alias("t0"), "t1", (F.abs(ret) / 4 + 0.05).alias("trgt"), F.when(ret >= 0, 1.0).otherwise(-1.0).alias("side"))
 
 
