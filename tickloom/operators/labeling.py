@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import ordered, ratio
-from tickloom.operators.joins import asof
+from tickloom.functions.columns import ordered, quotient
+from tickloom.operators.joins import asof, range_join
 
 KEYS = ("symbol",)
 
@@ -19,7 +19,7 @@ def daily_returns(bars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Return of each bar over the last bar strictly before one day earlier; bars without one are left out."""
     back = bars.select(*keys, F.col("ts").alias("__ts"), F.col("close").alias("__close"), (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("ts"))
     found = asof(back, bars.select(*keys, "ts", "close"), keys, "ts", "close", strict=True, alias="before")
-    return found.where(F.col("before").isNotNull()).select(*keys, F.col("__ts").alias("ts"), (ratio(F.col("__close"), F.col("before")) - 1).alias("ret"))
+    return found.where(F.col("before").isNotNull()).select(*keys, F.col("__ts").alias("ts"), (quotient(F.col("__close"), F.col("before")) - 1).alias("ret"))
 
 
 def daily_volatility(bars: DataFrame, span: int = 100, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -40,32 +40,17 @@ def vertical_barriers(events: DataFrame, bars: DataFrame, num_bars: int = 1, key
     return events.select(*keys, "t0").join(ahead, [*keys, "t0"]).where(F.col("t1").isNotNull())
 
 
-def barrier_touches(bars: DataFrame, events: DataFrame, pt: float, sl: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def barrier_touches(bars: DataFrame, events: DataFrame, pt: float, sl: float, bucket_seconds: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """``events`` plus first times ``sl`` and ``pt`` at which the path return passes -sl * trgt or pt * trgt.
 
-    The path runs over [t0, t1], to the last bar if t1 is null; a multiplier of 0 or less switches a barrier off.
+    The path runs over [t0, t1], to the last bar if t1 is null; a multiplier of 0 or less switches a barrier off. Bars and
+    events meet in time buckets, not over the whole key.
     """
-    at = bars.select(*keys, F.col("ts").alias("__ts"), F.col("close").alias("__close"))
-    start = bars.select(*keys, F.col("ts").alias("t0"), F.col("close").alias("__p0"))
-    path = events.join(start, [*keys, "t0"], "left").join(at, list(keys), "left")
-    path = path.where((F.col("__ts") >= F.col("t0")) & (F.col("t1").isNull() | (F.col("__ts") <= F.col("t1"))))
-    gain = (ratio(F.col("__close"), F.col("__p0")) - 1) * F.coalesce("side", F.lit(1.0))
-    never = F.lit(None).cast(bars.schema["ts"].dataType)
-    low = F.min(F.when(gain < -sl * F.col("trgt"), F.col("__ts"))) if sl > 0 else F.first(never)
-    high = F.min(F.when(gain > pt * F.col("trgt"), F.col("__ts"))) if pt > 0 else F.first(never)
-    touched = path.groupBy(*keys, "t0").agg(low.alias("sl"), high.alias("pt"))
-    return events.join(touched, [*keys, "t0"], "left")
-
-
-def barrier_touches_bucketed(bars: DataFrame, events: DataFrame, pt: float, sl: float, bucket_seconds: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """``barrier_touches`` for long series: bars and events meet in time buckets, not over the whole key."""
-    from tickloom.operators.joins import range_join
-
     last = bars.groupBy(*keys).agg(F.max("ts").alias("__last"))
     spans = events.select(*keys, "t0", "t1", "trgt", "side").join(last, list(keys)).withColumn("__high", F.coalesce("t1", "__last"))
     start = bars.select(*keys, F.col("ts").alias("t0"), F.col("close").alias("__p0"))
     met = range_join(bars.select(*keys, "ts", "close"), spans.join(start, [*keys, "t0"]), keys, "ts", "t0", "__high", bucket_seconds)
-    gain = (ratio(F.col("close"), F.col("__p0")) - 1) * F.coalesce("side", F.lit(1.0))
+    gain = (quotient(F.col("close"), F.col("__p0")) - 1) * F.coalesce("side", F.lit(1.0))
     never = F.lit(None).cast(bars.schema["ts"].dataType)
     low = F.min(F.when(gain < -sl * F.col("trgt"), F.col("ts"))) if sl > 0 else F.first(never)
     high = F.min(F.when(gain > pt * F.col("trgt"), F.col("ts"))) if pt > 0 else F.first(never)
@@ -80,12 +65,14 @@ def triple_barrier_events(bars: DataFrame, events: DataFrame, pt: float, sl: flo
     wanted = events.where(F.col("trgt") > min_ret)
     if not with_side:
         wanted, sl = wanted.withColumn("side", F.lit(1.0)), pt
-    touched = barrier_touches_bucketed(bars, wanted, pt, sl, bucket_seconds, keys)
+    touched = barrier_touches(bars, wanted, pt, sl, bucket_seconds, keys)
     return touched.select(*keys, "t0", F.least("t1", "sl", "pt").alias("t1"), "trgt", *(["side"] if with_side else []))
 
 
 def label_of(ret: Column, sided: bool) -> Column:
-    return F.when(ret <= 0, 0.0).otherwise(F.signum(ret)) if sided else F.signum(ret)
+    """Sign of the return; with a side losses are 0. NaN (a path that starts at a price of 0) counts as a gain, as in Spark's order."""
+    sign = F.when(F.isnan(ret), 1.0).otherwise(F.signum(ret))
+    return F.when(ret <= 0, 0.0).otherwise(sign) if sided else sign
 
 
 def bins(events: DataFrame, bars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -95,7 +82,7 @@ def bins(events: DataFrame, bars: DataFrame, keys: tuple[str, ...] = KEYS) -> Da
     first = asof(done.withColumn("ts", F.col("t0")), price, keys, "ts", "close", forward=True, alias="p0").drop("ts")
     last = asof(first.withColumn("ts", F.col("t1")), price, keys, "ts", "close", forward=True, alias="p1")
     sided = "side" in events.columns
-    ret = (ratio(F.col("p1"), F.col("p0")) - 1) * (F.col("side") if sided else F.lit(1.0))
+    ret = (quotient(F.col("p1"), F.col("p0")) - 1) * (F.col("side") if sided else F.lit(1.0))
     return last.withColumn("ret", ret).select(*keys, "t0", "ret", label_of(F.col("ret"), sided).alias("bin"))
 
 
