@@ -5,6 +5,7 @@ Bars are (keys, ts[, close]) with unique ts; events (keys, t0, t1), t1 null: to
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.contracts import require
-from tickloom.functions.columns import ordered, ratio, running
+from tickloom.functions.columns import log, ordered, ratio, running
 from tickloom.operators.joins import asof, interval_sums, range_join
 
 KEYS = ("symbol",)
@@ -30,20 +31,26 @@ def concurrency(bars: DataFrame, events: DataFrame, keys: tuple[str, ...] = KEYS
 
 
 def _prefix_lookup(events: DataFrame, sums: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Events with running values up to t1 and before t0."""
-    upto = asof(events.withColumn("ts", F.col("t1")), sums.select(*keys, "ts", F.struct("n", "s").alias("v")), keys, "ts", "v", alias="hi").drop("ts", "hi_at")
-    return asof(upto.withColumn("ts", F.col("t0")), sums.select(*keys, "ts", F.struct("n", "s").alias("v")), keys, "ts", "v", strict=True, alias="lo").drop("ts", "lo_at")
+    """Events with the running values ``v`` up to t1 and before t0."""
+    upto = asof(events.withColumn("ts", F.col("t1")), sums, keys, "ts", "v", alias="hi").drop("ts", "hi_at")
+    return asof(upto.withColumn("ts", F.col("t0")), sums, keys, "ts", "v", strict=True, alias="lo").drop("ts", "lo_at")
 
 
 def _interval_totals(bars: DataFrame, events: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, t0, t1, total, n) of a bar value over [t0, t1]; nulls count as absent."""
+    """(keys, t0, t1, total, n) of a bar value over [t0, t1]; nulls count as absent. Infinities and NaN are counted apart
+    from the sums, so that they reach the totals of their own events only."""
     w = running(list(keys), "ts")
-    sums = bars.select(*keys, "ts", F.count(value).over(w).alias("n"), F.coalesce(F.sum(value).over(w), F.lit(0.0)).alias("s"))
+    x, many = F.col(value).cast("double"), lambda c: F.count(F.when(c, 1)).over(w)
+    odd = {"up": x == math.inf, "down": x == -math.inf, "nan": F.isnan(x)}
+    finite = F.when(~(odd["up"] | odd["down"] | odd["nan"]), x)
+    sums = bars.select(*keys, "ts", F.struct(F.count(value).over(w).alias("n"), F.coalesce(F.sum(finite).over(w), F.lit(0.0)).alias("s"), *(many(c).alias(k) for k, c in odd.items())).alias("v"))
     last = bars.groupBy(*keys).agg(F.max("ts").alias("__last"))
     spans = events.select(*keys, "t0", "t1").join(last, list(keys)).select(*keys, "t0", F.coalesce("t1", "__last").alias("t1"))
     met = _prefix_lookup(spans, sums, keys)
     less = lambda f: F.col(f"hi.{f}") - F.coalesce(F.col(f"lo.{f}"), F.lit(0))
-    return met.select(*keys, "t0", "t1", less("s").alias("total"), less("n").alias("n"))
+    up, down = less("up") > 0, less("down") > 0
+    total = F.when((less("nan") > 0) | (up & down), F.lit(math.nan)).when(up, F.lit(math.inf)).when(down, F.lit(-math.inf)).otherwise(less("s"))
+    return met.select(*keys, "t0", "t1", total.alias("total"), less("n").alias("n"))
 
 
 def average_uniqueness(bars: DataFrame, events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -55,7 +62,7 @@ def average_uniqueness(bars: DataFrame, events: DataFrame, keys: tuple[str, ...]
 
 def return_attribution(bars: DataFrame, events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, t0, weight): |sum of log returns / concurrency| over the life of each event."""
-    step = F.ln("close") - F.lag(F.ln("close")).over(ordered(list(keys), "ts"))
+    step = log(F.col("close")) - F.lag(log(F.col("close"))).over(ordered(list(keys), "ts"))
     moves = bars.select(*keys, "ts", step.alias("r")).join(concurrency(bars, events, keys), [*keys, "ts"]).withColumn("x", ratio(F.col("r"), F.col("concurrency")))
     return _interval_totals(moves, events, "x", keys).select(*keys, "t0", F.abs("total").alias("weight"))
 
