@@ -194,3 +194,41 @@ def test_least_difference_order_query(spark, tmp_path):
         beta = np.linalg.lstsq(x, dz[1:], rcond=None)[0]
         se = math.sqrt(((dz[1:] - x @ beta) ** 2).sum() / (len(x) - 3) * np.linalg.inv(x.T @ x)[0, 0])
         assert (r.n_obs, r.stat, r.corr) == (len(x), pytest.approx(beta[0] / se, abs=1e-4), pytest.approx(np.corrcoef(z, y[len(w) - 1 :])[0, 1], abs=1e-5))
+
+
+@pytest.mark.parametrize("n", [0, 1, 100_000, 2_000_000])
+def test_positions_are_dense(spark, n):
+    key = F.xxhash64("id") if n > 100_000 else F.col("id")
+    df = spark.range(n).select(F.col("id").alias("was"), key.alias("k"), F.lit("other").alias("__c"))
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    got = joins.with_position(df, ["k"])
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got.columns == ["was", "k", "__c", "pos"]
+    row = got.agg(F.count("*").alias("n"), F.count_distinct("was").alias("rows"), F.count_distinct("pos").alias("d"), F.max("pos").alias("m")).first()
+    assert (row.n, row.rows, row.d, row.m) == (n, n, n, n - 1 if n else None)
+    steps = got.selectExpr("pos p", "k").join(got.selectExpr("pos + 1 p", "k before"), "p")
+    assert steps.where("before >= k").count() == 0 and steps.count() == max(0, n - 1)
+
+
+def test_positions_with_ties(spark):
+    df = spark.createDataFrame([(i % 3, i) for i in range(30)] + [(None, 30)], "k int, i int")
+    got = sorted((r.pos, -1 if r.k is None else r.k) for r in joins.with_position(df, ["k"]).collect())
+    assert [p for p, _ in got] == list(range(31)) and [k for _, k in got] == [-1] + [0] * 10 + [1] * 10 + [2] * 10
+
+
+def test_train_times_and_splits_against_search(spark):
+    rng = np.random.default_rng(8)
+    starts = sorted(rng.choice(400, 80, replace=False).tolist())
+    rows = [(t, t + int(rng.integers(0, 40))) for t in starts]
+    labels = validation.intervals(spark.createDataFrame(rows, "t0 int, t1 int"))
+    tests = [(50, 60), (55, 90), (200, 199), (300, 301), (380, 900)]
+    got = {(r.t0, r.t1) for r in validation.train_times(labels, spark.createDataFrame(tests, "low int, high int")).collect()}
+    assert got == {(a, b) for a, b in rows if not any(lo <= hi and a <= hi and b >= lo for lo, hi in tests)}
+    found = {(r.split, r.pos): r.role for r in validation.combinatorial_splits(labels, 5, 2, 0.02).collect()}
+    group = [min(i // 16, 4) for i in range(80)]
+    for split, chosen in enumerate((a, b) for a in range(5) for b in range(a + 1, 5)):
+        held = [rows[i] for i in range(80) if group[i] in chosen]
+        late = {i for g in chosen for i in range(16 * (g + 1), 16 * (g + 1) + 2)}
+        for i, (a, b) in enumerate(rows):
+            free = not any(a <= y and b >= x for x, y in held) and i not in late
+            assert found.get((split, i)) == ("test" if group[i] in chosen else "train" if free else None)

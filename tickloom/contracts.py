@@ -21,7 +21,3 @@ def require_none(df: DataFrame, condition: Column, message: str) -> None:
     """Raise if any row meets the condition (stops at the first one)."""
     if not df.where(condition).limit(1).isEmpty():
         raise ValueError(message)
-
-
-def require_unique(df: DataFrame, *keys: str) -> None:
-    require_none(df.groupBy(*keys).agg(F.count("*").alias("__n")), F.col("__n") > 1, f"repeated {', '.join(keys)}")

@@ -1,10 +1,12 @@
-"""As-of and range joins, interval counts and sums, dense positions."""
+"""As-of and range joins, interval counts and sums, dense positions, running maxima."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.storage import materialise
+
 
 def asof(left: DataFrame, right: DataFrame, keys: tuple[str, ...], on: str, value: str, forward: bool = False, strict: bool = False, alias: str | None = None) -> DataFrame:
     """``left`` plus the value (and time, ``<alias>_at``) of the nearest ``right`` row before (or after) ``on``.
@@ -32,14 +34,39 @@ def range_join(points: DataFrame, intervals: DataFrame, keys: tuple[str, ...], p
 
 
 def with_position(df: DataFrame, order: list[str], keys: tuple[str, ...] = (), name: str = "pos") -> DataFrame:
-    """Dense positions from 0 within keys. Without keys: by range partitions and their offsets, not in one task."""
+    """Dense positions from 0 within keys; ties stand in any order. Without keys: rows are range-partitioned, sorted and
+    written once with their partition and place, so that counts, offsets and positions are of the same rows; the result
+    is that table and a broadcast of one row a partition."""
     if keys:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
-    spread = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    inner = spread.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)).cast("long") - 1)
-    counts = inner.groupBy("__p").agg(F.count("*").alias("__c"))
-    start = counts.select("__p", (F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).alias("__s"))  # a row a partition
-    return inner.join(F.broadcast(start), "__p").withColumn(name, F.coalesce("__s", F.lit(0)) + F.col("__n")).drop("__p", "__n", "__s")
+    spread, start = _placed(df, order, {"__s": F.count("*")})
+    at = F.coalesce("__s", F.lit(0)) + F.col("__i").bitwiseAND(F.lit(_PLACE))
+    return spread.join(F.broadcast(start), "__p").withColumn(name, at.cast("long")).drop("__p", "__i", "__s")
+
+
+#: A row id is a partition number above 33 bits of a place in the partition.
+_PLACE = (1 << 33) - 1
+
+
+def _placed(df: DataFrame, order: list[str], totals: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """``df`` in order with a partition ``__p`` and a row id ``__i``, and for each partition sums (counts, maxima) of the
+    partitions before it: a row a partition."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__i", F.monotonically_increasing_id())
+    placed = materialise(placed, "placed").withColumn("__p", F.shiftright("__i", 33))
+    parts = placed.groupBy("__p").agg(*(f.alias(k) for k, f in totals.items()))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    return placed, parts.select("__p", *((F.max(k) if k.startswith("__max") else F.sum(k)).over(before).alias(k) for k in totals))
+
+
+def running_maxima(df: DataFrame, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """``df`` plus, for each name, the maximum of its expression over all rows up to this one in ``order``, which has to be
+    without ties. Over the whole table but not in one task: maxima within range partitions and of those before."""
+    rows = df.select("*", *(v.alias(f"__max_{k}") for k, v in values.items()))
+    placed, start = _placed(rows, order, {f"__max_{k}": F.max(f"__max_{k}") for k in values})
+    within = Window.partitionBy("__p").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    start = start.select("__p", *(F.col(f"__max_{k}").alias(f"__before_{k}") for k in values))
+    out = placed.select("*", *(F.max(f"__max_{k}").over(within).alias(f"__in_{k}") for k in values)).join(F.broadcast(start), "__p")
+    return out.select(*df.columns, *(F.greatest(f"__in_{k}", f"__before_{k}").alias(k) for k in values))
 
 
 def interval_sums(times: DataFrame, intervals: DataFrame, keys: tuple[str, ...], time: str, low: str, high: str, values: dict[str, str], closed: bool = True) -> DataFrame:

@@ -8,38 +8,34 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.contracts import require, require_columns, require_none, require_unique
-from tickloom.operators.joins import with_position
+from tickloom.contracts import require, require_columns, require_none
+from tickloom.operators.joins import running_maxima, with_position
 
 
 def intervals(df: DataFrame, t0: str = "t0", t1: str = "t1") -> DataFrame:
     """Checked labels with positions: no null ends, no end before its start, unique starts, not empty."""
     require_columns(df, t0, t1)
-    require(not df.isEmpty(), "no labels")
-    require_none(df, F.col(t0).isNull() | F.col(t1).isNull(), "null interval bound")
-    require_none(df, F.col(t1) < F.col(t0), "an interval ends before it starts")
-    require_unique(df, t0)
-    return with_position(df, [t0])
-
-
-def merged(times: DataFrame) -> DataFrame:
-    """Disjoint (low, high) hulls of overlapping or touching intervals (t0, t1); few rows when tests are contiguous."""
-    w = Window.orderBy("t0", "t1")
-    begun = F.coalesce((F.col("t0") > F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
-    return times.withColumn("__new", begun).withColumn("__g", F.sum("__new").over(w)).groupBy("__g").agg(F.min("t0").alias("low"), F.max("t1").alias("high")).drop("__g")
+    placed = with_position(df, [t0])
+    none = F.col(t0).isNull() | F.col(t1).isNull()
+    row = placed.agg(F.count("*").alias("n"), F.count_if(none).alias("none"), F.count_if(F.col(t1) < F.col(t0)).alias("back"), F.count_distinct(t0).alias("starts")).first()
+    require(row["n"] > 0, "no labels")
+    require(row["none"] == 0, "null interval bound")
+    require(row["back"] == 0, "an interval ends before it starts")
+    require(row["starts"] == row["n"], f"repeated {t0}")
+    return placed
 
 
 def train_times(labels: DataFrame, test: DataFrame) -> DataFrame:
-    """Labels that overlap no test interval (low, high); all bounds count as inside."""
-    hit = (F.col("t0") <= F.col("high")) & (F.col("t1") >= F.col("low"))
-    return labels.join(F.broadcast(test.select("low", "high")) if _is_small(test) else test.select("low", "high"), hit, "left_anti")
-
-
-def _is_small(df: DataFrame, most: int = 100_000) -> bool:
-    return df.limit(most + 1).count() <= most
+    """Labels that overlap no test interval (low, high); all bounds count as inside. One scan in order of time: a label
+    overlaps a test interval if the largest high of those that begin by its t1 reaches its t0."""
+    row = labels.select(F.struct("*").alias("__row")).schema["__row"].dataType
+    tests = test.where("low <= high").select(F.col("low").alias("__t"), F.lit(0).alias("__kind"), F.col("high").alias("__high"), F.lit(None).cast(row).alias("__row"))
+    rows = labels.select(F.col("t1").alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(test.schema["high"].dataType).alias("__high"), F.struct("*").alias("__row"))
+    met = running_maxima(tests.unionByName(rows), ["__t", "__kind"], {"__reach": F.col("__high")})
+    return met.where("__kind = 1").select("__row.*", "__reach").where(~F.coalesce(F.col("__reach") >= F.col("t0"), F.lit(False))).drop("__reach")
 
 
 def embargo_times(times: DataFrame, share: float, time: str = "t0") -> DataFrame:
@@ -88,30 +84,29 @@ def group_bounds(n: int, groups: int) -> list[tuple[int, int]]:
 
 def combinatorial_splits(labels: DataFrame, groups: int, tested: int, embargo: float = 0.0) -> DataFrame:
     """(split, pos, role) for each choice of ``tested`` groups in lexicographic order; training labels that overlap a test
-    label go, and ceil(n * embargo) positions after each tested group."""
-    spark, n = labels.sparkSession, labels.count()
+    label go, and ceil(n * embargo) positions after each tested group.
+
+    One scan in order of time gives each label the groups that it overlaps; what a label does in each split follows from
+    its own group and those, by expressions."""
+    n = labels.count()
     require(2 <= groups <= n, "groups between 2 and the number of labels")
     require(1 <= tested < groups, "test groups between 1 and groups - 1")
     require(0 <= embargo < 1, "embargo in [0, 1)")
-    gap = math.ceil(n * embargo)
+    gap, size = math.ceil(n * embargo), n // groups
+    mine = F.least(F.floor(F.col("pos") / size), F.lit(groups - 1)).cast("int")
+    rows = labels.select("pos", "t0", "t1").withColumn("g", mine)
+    begins = rows.select("pos", "g", F.col("t0").alias("t"), F.lit(0).alias("kind"), F.col("t1").alias("high"), F.lit(None).cast(labels.schema["t0"].dataType).alias("t0"))
+    ends = rows.select("pos", "g", F.col("t1").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(labels.schema["t1"].dataType).alias("high"), "t0")
+    reach = {f"r{g}": F.when(F.col("g") == g, F.col("high")) for g in range(groups)}
+    met = running_maxima(begins.unionByName(ends), ["t", "kind", "pos"], reach).where("kind = 1")
     bounds = group_bounds(n, groups)
-    grid = spark.createDataFrame([(g, a, b) for g, (a, b) in enumerate(bounds)], "g int, a long, b long")
-    choices = spark.createDataFrame([(i, g) for i, c in enumerate(combinations(range(groups), tested)) for g in c], "split int, g int")
-    rows = labels.select("pos", "t0", "t1").join(F.broadcast(grid), F.col("pos").between(F.col("a"), F.col("b") - 1))
-    test = rows.join(F.broadcast(choices), "g").select("split", "pos", F.lit("test").alias("role"))
-    every = spark.range(math.comb(groups, tested)).select(F.col("id").cast("int").alias("split"))
-    # What a group's test labels cover: as hulls, so that a row meets few of them.
-    w = Window.partitionBy("g").orderBy("t0", "t1")
-    new = F.coalesce((F.col("t0") > F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
-    hulls = rows.withColumn("__n", new).withColumn("__h", F.sum("__n").over(w)).groupBy("g", "__h").agg(F.min("t0").alias("low"), F.max("t1").alias("high"))
-    overlap = (F.col("t0") <= F.col("high")) & (F.col("t1") >= F.col("low"))
-    small = F.broadcast(hulls.select(F.col("g").alias("tg"), "low", "high")) if _is_small(hulls) else hulls.select(F.col("g").alias("tg"), "low", "high")
-    purged = rows.join(small, overlap).select("pos", "tg").distinct()
-    late = rows.select("pos").join(F.broadcast(grid.select(F.col("g").alias("tg"), "b")), (F.col("pos") >= F.col("b")) & (F.col("pos") < F.col("b") + gap)).select("pos", "tg")
-    barred = purged.union(late).distinct().join(F.broadcast(choices.withColumnRenamed("g", "tg")), "tg").select("split", "pos").distinct()
-    mine = F.broadcast(choices.groupBy("split").agg(F.collect_list("g").alias("tested")).join(every, "split"))
-    train = rows.join(mine, ~F.array_contains("tested", F.col("g"))).select("split", "pos").join(barred, ["split", "pos"], "left_anti")
-    return test.unionByName(train.withColumn("role", F.lit("train")))
+    bars = [F.coalesce(F.col(f"r{g}") >= F.col("t0"), F.lit(False)) | F.col("pos").between(b, b + gap - 1) for g, (_, b) in enumerate(bounds)]
+    barred = F.filter(F.array(*(F.when(x, F.lit(g)) for g, x in enumerate(bars))), lambda g: g.isNotNull())
+    met = met.select("pos", "g", barred.alias("barred"))
+    choices = [(i, list(c)) for i, c in enumerate(combinations(range(groups), tested))]
+    splits = F.broadcast(labels.sparkSession.createDataFrame(choices, "split int, tested array<int>"))  # a row a split, as many as each label has roles
+    role = F.when(F.array_contains("tested", F.col("g")), "test").when(~F.arrays_overlap("barred", "tested"), "train")
+    return met.crossJoin(splits).select("split", "pos", role.alias("role")).where("role is not null")
 
 
 def split_table(splits: DataFrame, groups: int, tested: int) -> DataFrame:
@@ -133,7 +128,3 @@ def backtest_paths(splits: DataFrame, groups: int) -> DataFrame:
     counts = {r["n"] for r in paths.groupBy("grp").agg(F.count("*").alias("n")).limit(groups + 1).collect()}
     require(len(counts) == 1 and paths.select("grp").distinct().count() == groups, "every group must be tested equally often")
     return paths
-
-
-def empty_splits(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "split int, pos long, role string")
