@@ -57,6 +57,13 @@ def log_uniform(a: float, b: float, u: Column) -> Column:
     return F.lit(a) * F.pow(F.lit(b / a), u)
 
 
+def log_uniform_at(a: float, b: float, u: float) -> float:
+    """``log_uniform`` of one number."""
+    if not 0 < a < b:
+        raise ValueError("0 < a < b is needed")
+    return a * (b / a) ** u
+
+
 def log_uniform_cdf(x: Column, a: float, b: float) -> Column:
     if not 0 < a < b:
         raise ValueError("0 < a < b is needed")

@@ -422,51 +422,52 @@ def asof_join(spark, sf_dir):
     return _round(joins.asof(events.select("event_id", "user_id", "ts"), right, ("user_id",), "ts", "value", strict=True, alias="before").select("event_id", "before"))
 
 
-def _features(spark, sf_dir, dims: int = 8) -> tuple[DataFrame, list[str]]:
+def _features(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """A column for each component of the vectors."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    names = [f"f{i}" for i in range(dims)]
+    names = [f"f{i}" for i in range(rows.agg(F.max(F.size("embedding"))).first()[0] or 0)]
     out = rows.select(F.col("vec_id").alias("id"), (F.col("label") > 4).cast("int").alias("label"), F.lit(1.0).alias("weight"), *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)))
     out = joins.with_position(out, ["id"])
-    last = out.agg(F.max("pos").alias("__m"))
-    return out.join(F.broadcast(last)).withColumns({"t0": F.col("pos"), "t1": F.least(F.col("pos") + 3, F.col("__m"))}).drop("__m", "id"), names
+    last = out.agg(F.max("pos").alias("m")).first()["m"] or 0
+    return out.withColumns({"t0": F.col("pos"), "t1": F.least(F.col("pos") + 3, F.lit(last))}).drop("id"), names
 
 
 @query()
 def cross_validation_scores(spark, sf_dir):
     df, names = _features(spark, sf_dir)
-    scores = models.cross_validate(models.random_forest(10, seed=1), models.assemble(df, names).cache(), "accuracy", 3, 0.01)
+    scores = models.cross_validate(models.random_forest(10, seed=1), models.assemble(df, names), "accuracy", 3, 0.01)
     return spark.createDataFrame([(i, float(s)) for i, s in enumerate(scores)], "fold int, score double")
 
 
 @query()
 def hyperparameter_search(spark, sf_dir):
     df, names = _features(spark, sf_dir)
-    return models.search(models.assemble(df, names).cache(), lambda reg: models.scaled_logistic(reg), {"reg": (0.01, 1.0)}, 2, 0.01, draws=2)[2]
+    return models.search(models.assemble(df, names), lambda reg: models.scaled_logistic(reg), {"reg": (0.01, 1.0)}, 2, 0.01, draws=2)[2]
 
 
 @query()
 def boosted_trees(spark, sf_dir):
     df, names = _features(spark, sf_dir)
-    data = models.assemble(df, names).cache()
+    data = models.assemble(df, names)
     return models.predict(models.Boosting(rounds=3).fit(data), data).select("pos", "label", "prediction", "p1")
 
 
 @query()
 def importance_mdi(spark, sf_dir):
     df, names = _features(spark, sf_dir)
-    return models.feature_importance(df.cache(), names, 10, 2, method="MDI")[0]
+    return models.feature_importance(df, names, 10, 2, method="MDI")[0]
 
 
 @query()
 def importance_mda(spark, sf_dir):
-    df, names = _features(spark, sf_dir, 3)
-    return models.mda(models.random_forest(5), df.cache(), names, 2)[0]
+    df, names = _features(spark, sf_dir)
+    return models.mda(models.random_forest(5), df, names, 2)[0]
 
 
 @query()
 def importance_sfi(spark, sf_dir):
-    df, names = _features(spark, sf_dir, 3)
-    return models.sfi(models.random_forest(5), df.cache(), names, 2)
+    df, names = _features(spark, sf_dir)
+    return models.sfi(models.random_forest(5), df, names, 2)
 
 
 @query()
