@@ -1,12 +1,10 @@
 """Operator 7: quality by a byte-level convolutional network in numpy.
 
-Filters of four bytes slide over every byte of a text; their table lookups are summed in
-pairs of bytes. A second, dilated bank holds the byte equal to the one ``lag`` places
-before, for lags up to 32, which shows repetition. Chunks of 512 bytes that overlap by
-128 cover the whole text: filters are max-pooled in each chunk, repetition is the
-largest share over the lags. A text's means and maxima over its chunks go through one
-logistic unit. Filters and unit are trained together by Adam; gradients reach a filter
-through the bytes at its maxima.
+Filters of four bytes, all of them learned, slide over every byte of a text; their table
+lookups are summed in pairs of bytes. Chunks of 512 bytes that overlap by 128 cover the
+whole text, and each filter is max-pooled in each chunk. A text's means and maxima over
+its chunks go through one logistic unit. Filters and unit are trained together by Adam;
+gradients reach a filter through the bytes at its maxima.
 
 Training takes at most ``most_rows`` labelled texts of at most ``most_bytes`` bytes (the
 least id hashes); scoring covers every byte of every text. A null or empty text is one
@@ -27,8 +25,7 @@ from pyspark.sql import types as T
 from tickloom.llm import common
 
 BLOCK, CHUNK, STEP, TAPS = 128, 4, 3, 4  # bytes in a block; blocks in a chunk, and between chunk starts; bytes in a filter
-LAGS = range(2, 33)
-PAD = 36  # zero bytes behind each text, so that no filter or lag reaches another text
+PAD = TAPS  # zero bytes behind each text, so that no filter reaches another text
 
 
 def layout(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +54,7 @@ def _reduce(op, x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 class Network:
     taps: np.ndarray  # TAPS x 256 x filters
     bias: np.ndarray  # filters
-    weights: np.ndarray  # 2 * (filters + 1): of the means, then of the maxima
+    weights: np.ndarray  # 2 * filters: of the means, then of the maxima
     offset: float
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
@@ -76,47 +73,28 @@ class Network:
             yield f, out.reshape(-1, BLOCK)
 
     def pooled(self, data: np.ndarray, at: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """texts x 2 * (filters + 1)"""
+        """texts x 2 * filters"""
         padded, start, end, first = layout(data, at)
-        top = np.empty((len(self.bias) + 1, (len(padded) - TAPS) // BLOCK), np.float32)
+        top = np.empty((len(self.bias), (len(padded) - TAPS) // BLOCK), np.float32)
         for f, out in self.respond(padded, tables, end[first[1:] - 1]):
             top[f] = out.max(axis=1)
-        chunk = np.empty((len(self.bias) + 1, len(start)), np.float32)
-        chunk[:-1] = np.maximum(_reduce(np.maximum, top[:-1], start, end) + self.bias[:, None], 0)
-        chunk[-1] = repetition(padded, start, end)
-        return pool(chunk, first)
+        return pool(np.maximum(_reduce(np.maximum, top, start, end) + self.bias[:, None], 0).astype(np.float32), first)
 
     def score(self, data: np.ndarray, at: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         logits = self.pooled(data, at, tables) @ self.weights + self.offset
         return 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
 
 
-def repetition(padded: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """For each chunk the largest share, over the lags, of bytes that equal the one a lag before."""
-    body = padded[:-TAPS]
-    solid = body != 0
-    count = lambda x: x.reshape(-1, BLOCK).sum(axis=1, dtype=np.int32)
-    size = np.maximum(1, _reduce(np.add, count(solid), start, end))
-    most = np.zeros(len(start), np.int64)
-    same = np.zeros(len(body), bool)
-    for lag in LAGS:
-        np.equal(body[lag:], body[:-lag], out=same[lag:])
-        same[lag:] &= solid[lag:]
-        same[:lag] = False
-        np.maximum(most, _reduce(np.add, count(same), start, end), out=most)
-    return 4 * most / size
-
-
 def pool(chunk: np.ndarray, first: np.ndarray) -> np.ndarray:
     mean = np.add.reduceat(chunk, first[:-1], axis=1) / np.diff(first)
     return np.concatenate([mean, np.maximum.reduceat(chunk, first[:-1], axis=1)]).T.astype(np.float64)
 
 
-def train(rows: Iterable[tuple[int, bytes, int]], filters: int = 8, epochs: int = 6, batch: int = 64, rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> Network:
+def train(rows: Iterable[tuple[int, bytes, int]], filters: int = 16, epochs: int = 8, batch: int = 64, rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> Network:
     sample = sorted(rows, key=lambda x: x[0])
     texts = [x[1] for x in sample]
     rng = np.random.default_rng(seed)
-    net = Network(rng.normal(0, 0.3, (TAPS, 256, filters)), np.zeros(filters), rng.normal(0, 0.1, 2 * (filters + 1)), 0.0)
+    net = Network(rng.normal(0, 0.3, (TAPS, 256, filters)), np.zeros(filters), rng.normal(0, 0.1, 2 * filters), 0.0)
     if not texts:
         return net
     y = np.array([x[2] for x in sample], float)
@@ -130,7 +108,7 @@ def train(rows: Iterable[tuple[int, bytes, int]], filters: int = 8, epochs: int
             at = np.append(0, np.cumsum([len(texts[i]) for i in rows]))
             padded, start, end, first = layout(data, at)
             tables = net.tables()
-            chunk = np.zeros((filters + 1, len(start)), np.float32)
+            chunk = np.zeros((filters, len(start)), np.float32)
             where = np.zeros((filters, len(start)), np.int64)
             for f, out in net.respond(padded, tables, end[first[1:] - 1]):
                 inner, top = out.argmax(axis=1), out.max(axis=1)
@@ -140,7 +118,6 @@ def train(rows: Iterable[tuple[int, bytes, int]], filters: int = 8, epochs: int
                     hit = top[block] == best
                     where[f, hit] = block[hit] * BLOCK + inner[block[hit]]
                 chunk[f] = np.maximum(best + net.bias[f], 0)
-            chunk[-1] = repetition(padded, start, end)
             x = pool(chunk, first)
             p = 1 / (1 + np.exp(-np.clip(x @ net.weights + net.offset, -35, 35)))
             g = (p - y[rows]) / len(rows)
@@ -148,8 +125,8 @@ def train(rows: Iterable[tuple[int, bytes, int]], filters: int = 8, epochs: int
             owner = np.repeat(np.arange(len(rows)), np.diff(first))
             counts = np.diff(first)[owner]
             for f in range(filters):
-                is_max = chunk[f] == x[owner, filters + 1 + f].astype(np.float32)
-                d = g[owner] * (net.weights[f] / counts + net.weights[filters + 1 + f] * is_max) * (chunk[f] > 0)
+                is_max = chunk[f] == x[owner, filters + f].astype(np.float32)
+                d = g[owner] * (net.weights[f] / counts + net.weights[filters + f] * is_max) * (chunk[f] > 0)
                 grads[1][f] = d.sum()
                 for t in range(TAPS):
                     grads[0][t, :, f] += np.bincount(padded[where[f] + t], d, 256)
