@@ -40,8 +40,10 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     """One row a conversation: ``conv``, ``formatted`` string and ``segments`` array<struct<text, loss>>, which
     concatenate to ``formatted``; ``loss``, the loss mask, is true for the texts of ``loss_role``."""
     empty = F.lit("")
-    rows = df.select(F.col(conv), F.struct(F.col(turn).alias("turn"), escape_role(F.coalesce(F.col(role), empty)).alias("role"), escape(F.coalesce(F.col(text), empty)).alias("text")).alias("t"))
-    turns = rows.groupBy(conv).agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = df.select(F.col(conv), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("text")).alias("t"))
+    # Sorted as they are: escaped texts have another order.
+    escaped = F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["turn"].alias("turn"), escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    turns = rows.groupBy(conv).agg(escaped.alias("turns"))
     n = F.size("turns")
 
     def head(t: Column, i: Column) -> Column:
