@@ -1,8 +1,10 @@
 """Operator 10: WARC archives through a chunked record table.
 
-Payloads are rows (record, chunk number, bytes) of at most ``chunk_bytes``; the writer
-streams the chunks of a record into one gzip member and the reader streams them out of
-it again, both with a running SHA-1, so neither holds a whole record. Writer tasks put
+Payloads are rows (record, chunk number, bytes) of at most ``chunk_bytes``, each with the
+SHA-1 of its record's bytes so far; the last one of a record is the payload's digest. The
+writer streams the chunks of a record into one gzip member, checked chunk by chunk, and
+the reader streams them out of it again, so that after the cut no step holds a whole
+record. Writer tasks put
 files into a folder all executors share, under a name of their own for each attempt;
 only the files in the manifest that a finished task returns belong to the archive, so
 lost or repeated tasks do no harm.
@@ -36,14 +38,38 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RESULT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the digest of a record's bytes up to and with each chunk; the chunks of a record come one after another."""
+    record, sha = None, None
+    for batch in batches:
+        out = []
+        for row, chunk, data in zip(common.column(batch, "record").to_pylist(), common.column(batch, "chunk").to_pylist(), common.column(batch, "data"), strict=True):
+            if chunk == 0:
+                record, sha = row, hashlib.sha1()
+            if row != record:
+                raise ValueError("a chunk without its record's first one")
+            sha.update(data.as_buffer())
+            out.append(sha.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "running"])
+
+
 def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk_bytes: int = 1 << 20) -> DataFrame:
-    """(record, page_id, url, digest, n_bytes, chunk, n_chunks, data): the payloads in UTF-8, cut into chunks; ``record``
-    tells rows apart that are equal in everything else."""
+    """(record, page_id, url, digest, n_bytes, chunk, n_chunks, data, running): the payloads in UTF-8, cut into chunks.
+    ``record`` tells rows apart that are equal in everything else; ``running`` is the digest of the bytes up to and with the
+    chunk. A payload of one chunk is its own chunk; the chunks of longer ones are written with running digests, of which
+    the last is the payload's."""
     raw = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    raw = raw.withColumns({"record": F.monotonically_increasing_id(), "digest": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long")})
-    last = F.greatest(F.ceil(F.col("n_bytes") / chunk_bytes).cast("int"), F.lit(1)) - 1
-    cut = raw.withColumn("n_chunks", last + 1).withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
-    return cut.select("record", "page_id", "url", "digest", "n_bytes", "chunk", "n_chunks", F.when(F.col("n_chunks") == 1, F.col("payload")).otherwise(F.substring("payload", F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))).alias("data"))
+    raw = raw.withColumns({"record": F.monotonically_increasing_id(), "n_bytes": F.octet_length("payload").cast("long")})
+    named = ["record", "page_id", "url", "n_bytes"]
+    short = raw.where(F.col("n_bytes") <= chunk_bytes).select(*named, F.lit(0).alias("chunk"), F.lit(1).alias("n_chunks"), F.col("payload").alias("data"))
+    short = short.withColumn("running", F.sha1("data")).withColumn("digest", F.col("running"))
+    many = F.ceil(F.col("n_bytes") / chunk_bytes).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.substring("payload", i * chunk_bytes + 1, F.lit(chunk_bytes)))
+    long = raw.where(F.col("n_bytes") > chunk_bytes).select(*named, many.alias("n_chunks"), F.posexplode(pieces).alias("chunk", "data"))
+    long = long.select(*named, "chunk", "n_chunks", "data")
+    long = common.materialise(common.arrow_map(long, _running, f"{', '.join(f'{x.name} {x.dataType.simpleString()}' for x in long.schema)}, running string"), "warc-chunks")
+    whole = long.where("chunk = n_chunks - 1").select("record", F.col("running").alias("digest"))
+    return short.unionByName(long.join(whole, "record"))
 
 
 def _name(page_id: int | None) -> str:
@@ -73,7 +99,7 @@ def write_archive(chunks: DataFrame, folder: str, min_bytes: int = 1000, file_by
     owners = first.groupBy(F.col("digest").alias("o_digest"), F.col("n_bytes").alias("o_bytes")).agg(F.max("page_id").alias("owner"), F.count("*").alias("copies")).where("copies > 1")
     told = chunks.join(owners, (chunks["digest"] == owners["o_digest"]) & (chunks["n_bytes"] == owners["o_bytes"]), "left")
     told = told.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")))
-    told = told.where("refers_to is null or chunk = 0").select("record", "page_id", "url", "digest", "n_bytes", "chunk", "n_chunks", F.expr("if(refers_to is null, data, null)").alias("data"), "refers_to")
+    told = told.where("refers_to is null or chunk = 0").select("record", "page_id", "url", "digest", "n_bytes", "chunk", "n_chunks", F.expr("if(refers_to is null, data, null)").alias("data"), "running", "refers_to")
     told = told.sortWithinPartitions("page_id", "record", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,10 +124,11 @@ def write_archive(chunks: DataFrame, folder: str, min_bytes: int = 1000, file_by
                     out = b""
                 data = row["data"] or b""
                 sha.update(data)
+                last = row["chunk"] == row["n_chunks"] - 1
+                if row["refers_to"] is None and sha.hexdigest() != (row["digest"] if last else row["running"]):
+                    raise ValueError(f"chunks of page {row['page_id']} don't make its payload")
                 out += pack.compress(data)
-                if row["refers_to"] is not None or row["chunk"] == row["n_chunks"] - 1:
-                    if row["refers_to"] is None and sha.hexdigest() != row["digest"]:
-                        raise ValueError(f"chunks of page {row['page_id']} don't make its payload")
+                if row["refers_to"] is not None or last:
                     out += pack.compress(b"\r\n\r\n") + pack.flush()
                     records += 1
                 stream.write(out)
