@@ -23,7 +23,7 @@ def prose(n, seed):
 
 def corpus():
     """Toxic, near-duplicate, repeating and leaking documents among clean ones: (rows, labels, benchmark)."""
-    passage, test = prose(110, 1000), prose(30, 2000)
+    passage, test, line, brief = prose(110, 1000), prose(30, 2000), prose(45, 3000), prose(58, 4000)
     texts = {i: prose(150, i) for i in range(40)}
     for i in range(1, 40, 3):
         texts[i] = texts[i].replace(" ", " vile scum ", 3)
@@ -32,8 +32,11 @@ def corpus():
     texts[43] = texts[3]
     texts[50], texts[51] = prose(40, 50) + " " + passage + " " + prose(40, 51), prose(50, 52) + " " + passage
     texts[52], texts[53] = passage[3:], "  \t\n" + passage + "\n "
+    texts[54], texts[55] = prose(40, 54) + " " + line + " " + prose(40, 55), prose(40, 56) + " " + line
+    texts[56], texts[57] = prose(40, 57) + " " + brief + " " + prose(40, 58), prose(40, 59) + " " + brief
+    assert 200 < len(line.encode()) and len(brief.encode()) < 400  # a repeat of 45 words stays, one of 58 goes
     texts[60], texts[61] = prose(40, 60) + " " + test.upper(), "you vile scum " + test
-    texts |= {70: None, 71: "", 72: " \n\t ", 73: "日本 😀 é", 74: "short one", 75: "日本語😀" * 60, 76: "語😀本" + "日本語😀" * 60 + "日"}
+    texts |= {70: None, 71: "", 72: " \n\t ", 73: "日本 😀 é", 74: "short one", 75: "日本語😀 " * 60, 76: "語😀本" + "日本語😀 " * 60 + "日"}
     rows = [(i, t, None, None, None) for i, t in texts.items()] + [(None, prose(60, 90), "x", "y", 1), (74, "short one", None, None, None)]
     labels = [(i, None, int(i % 3 == 1)) for i in range(0, 36)] + [(36, 1, None), (None, 1, 1), (999, 1, 1)]
     return rows, labels, [(1, test), (2, None), (3, ""), (4, "not there")]
@@ -94,18 +97,23 @@ def plain_near(rows):
     return [r for r in rows if r[0] is None or top[r[0]] == r[0]]
 
 
-def plain_cut(rows):
+def plain_cut(rows, size=200, words=50):
     texts = [(r[1] or "").encode() for r in rows]
-    count = collections.Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    count = collections.Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
     out = []
     for r, t in zip(rows, texts, strict=True):
-        gone = {j for i in range(len(t) - 399) if count[t[i : i + 400]] > 1 for j in range(i, i + 400)}
+        gone = {j for i in range(len(t) - size + 1) if count[t[i : i + size]] > 1 for j in range(i, i + size)}
+        for i in sorted(gone):
+            if i - 1 not in gone:
+                end = next(j for j in range(i, len(t) + 1) if j not in gone)
+                if len(t[i:end].split()) < words:
+                    gone.difference_update(range(i, end))
         kept, at = [], 0
         for c in t.decode():
-            size = len(c.encode())
-            if not gone.intersection(range(at, at + size)):
+            wide = len(c.encode())
+            if not gone.intersection(range(at, at + wide)):
                 kept.append(c)
-            at += size
+            at += wide
         if not gone or "".join(kept).strip():
             out.append((r[0], "".join(kept) if gone else r[1]))
     return out

@@ -180,6 +180,38 @@ def test_chat_format(spark):
     assert all("".join(s.text for s in r.segments) == r.formatted for r in got.values())
 
 
+def test_chat_ties(spark):
+    """Turns that tie come in order of role and text as they are, not as escaped."""
+    texts = ["<a", "<|", "\\", "[", "<", ""]
+    rows = [(1, 1, role, t) for role in ("b<|", "b<a", "b") for t in texts]
+    out = chat_format.format_conversations(spark.createDataFrame(rows[::-1], "conv_id long, turn long, role string, text string"))
+    got = [(t.role, t.text) for t in out.select(chat_format.read_turns(out["formatted"]).alias("t")).first().t]
+    assert got == sorted((r, t) for _, _, r, t in rows)
+
+
+def test_chat_long_text(spark):
+    long = "<|\\é" * 300_000
+    out = chat_format.format_conversations(spark.createDataFrame([(1, 1, "user", "a"), (1, 2, "assistant", long)], "conv_id long, turn long, role string, text string"))
+    assert out.select(chat_format.read_loss(out["segments"]).alias("x")).first().x == long
+
+
+def test_quality_network_against_plain_sums():
+    """The forward pass byte by byte: filters within a text, maxima of chunks, means and maxima over chunks."""
+    rng = np.random.default_rng(3)
+    net = quality.Network(rng.normal(size=(4, 256, 3)), rng.normal(size=3), rng.normal(size=6), 0.3)
+    texts = [b"", b"a", bytes(rng.integers(0, 256, 127)), bytes(rng.integers(1, 256, 2000)), bytes(rng.integers(1, 256, 512))]
+    at = np.append(0, np.cumsum([len(x) for x in texts]))
+    got = net.score(np.frombuffer(b"".join(texts), np.uint8), at, net.tables())
+    for text, p in zip(texts, got, strict=True):
+        blocks = -(-(len(text) + quality.PAD) // quality.BLOCK)
+        x = np.frombuffer(text.ljust(blocks * quality.BLOCK + 4, b"\0"), np.uint8)
+        y = sum(net.taps[t][x[t : t + blocks * quality.BLOCK]] for t in range(4))
+        starts = range(0, max(1, blocks - quality.CHUNK + quality.STEP), quality.STEP)
+        chunks = np.array([np.maximum(y[b * quality.BLOCK : min(b + quality.CHUNK, blocks) * quality.BLOCK].max(axis=0) + net.bias, 0) for b in starts])
+        logit = np.concatenate([chunks.mean(axis=0), chunks.max(axis=0)]) @ net.weights + net.offset
+        assert p == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-5)
+
+
 def test_classifiers(spark):
     rng = random.Random(4)
     rows = [(i, words(60, i) + (" idiot scum" if i % 3 == 0 else ""), 0) for i in range(300)]
@@ -189,7 +221,7 @@ def test_classifiers(spark):
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert np.mean([(got[i] >= 0.5) == (i % 3 == 0) for i in range(240, 300)]) > 0.95 and 0 <= got[900] <= 1 and got[900] == got[901]
     shout = spark.createDataFrame([(i, (words(80, i).upper() + "!!") if i % 2 else words(80, i) + " " * rng.randint(0, 2), 0) for i in range(300)], DOCS)
-    marks = spark.createDataFrame([(i, 1 - i % 2) for i in range(240)], "doc_id long, quality int")
+    marks = spark.createDataFrame([(i, 1 - i % 2) for i in range(240)] + [(299, None), (None, 1)], "doc_id long, quality int")
     net = quality.fit(shout, marks, filters=4, epochs=8)
     got = {r.doc_id: r.score for r in quality.score(shout.union(docs.where("doc_id >= 900")), net).collect()}
     assert np.mean([(got[i] >= 0.5) == (i % 2 == 0) for i in range(240, 300)]) > 0.95 and 0 <= got[900] <= 1
@@ -212,6 +244,16 @@ def test_warc(spark):
     assert (got[1].record_type, got[1].refers_to, got[2].record_type, got[None].refers_to, got[3].record_type, got[4].record_type) == ("revisit", 2, "response", 2, "response", "response")
 
 
+def test_warc_running_digests(spark):
+    data = words(2000, 8).encode()
+    pages = spark.createDataFrame([(1, "u", data.decode()), (2, "u", "short")], "page_id long, url string, html string")
+    rows = warc.chunk_table(pages, chunk_bytes=1000).collect()
+    mine = sorted((r for r in rows if r.page_id == 1), key=lambda r: r.chunk)
+    assert b"".join(bytes(r.data) for r in mine) == data and max(len(r.data) for r in mine) == 1000
+    assert [r.running for r in mine] == [hashlib.sha1(data[: 1000 * (i + 1)]).hexdigest() for i in range(len(mine))]
+    assert {r.digest for r in mine} == {hashlib.sha1(data).hexdigest()} and len(rows) == len(mine) + 1
+
+
 def test_warc_repeated_rows(spark):
     big = words(300_000, 2)
     assert len(big) > 1 << 20

@@ -174,11 +174,12 @@ def repeated_spans(df: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     return out.select(*keep, "bytes", F.when(F.col("whole"), everything).otherwise(F.coalesce("part", none)).alias("spans"))
 
 
-def kept_bytes(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), whole_characters: bool = False) -> DataFrame:
+def kept_bytes(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), whole_characters: bool = False, least_words: int = 0) -> DataFrame:
     """From ``repeated_spans``: ``keep`` columns, ``spans`` and ``kept`` (binary, the bytes outside of the spans).
 
     With ``whole_characters`` a UTF-8 character goes entirely if a span covers any of its bytes, so that valid text stays
-    valid and no character is put together from parts of two.
+    valid and no character is put together from parts of two. Spans of fewer than ``least_words`` words (runs of bytes
+    other than ASCII white space, parts of words at the edges included) stay in the text and are left out of ``spans``.
     """
 
     def widened(text: bytes, a: int, b: int) -> tuple[int, int]:
@@ -191,13 +192,16 @@ def kept_bytes(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), whole_charact
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "bytes"):
             out = []
-            for text, spans in zip(common.column(batch, "bytes").to_pylist(), common.column(batch, "spans").to_pylist(), strict=True):
-                cuts = [(s["start"], s["end"]) for s in spans]
+            told = common.column(batch, "spans").to_pylist()
+            for i, text in enumerate(common.column(batch, "bytes").to_pylist()):
+                if least_words:
+                    told[i] = [s for s in told[i] if len(text[s["start"] : s["end"]].split()) >= least_words]
+                cuts = [(s["start"], s["end"]) for s in told[i]]
                 if whole_characters:
                     cuts = [widened(text, a, b) for a, b in cuts]
                 edge = [0, *(x for s in cuts for x in s), len(text)]
                 out.append(b"".join(text[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([*(common.column(batch, x) for x in (*keep, "spans")), pa.array(out, pa.binary())], [*keep, "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(common.column(batch, x) for x in keep), pa.array(told, common.column(batch, "spans").type), pa.array(out, pa.binary())], [*keep, "spans", "kept"])
 
     source = df.select(*keep, "spans", "bytes")
     return common.arrow_map(source, run, T.StructType([*source.schema.fields[:-1], T.StructField("kept", T.BinaryType())]))
