@@ -15,6 +15,10 @@ from tickloom.llm.queries import hex_digest, token_pattern, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: What cut_repeats cuts: runs covered by repeated strings of so many bytes that hold so many words. 50 words of prose take
+#: 300 bytes and up in the languages of the corpus; shorter matches are sorted, then judged by their words.
+REPEAT_BYTES, REPEAT_WORDS = 200, 50
+
 
 def _fixed(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
@@ -34,7 +38,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate rows the one with the smallest id stays, null ids last. Rows that repeat its id and
     its text stay with it if the next stage can't cut them, being shorter than its windows."""
-    key, short = F.monotonically_increasing_id(), F.octet_length("text") < suffix_dedup.DEPTH
+    key, short = F.monotonically_increasing_id(), F.octet_length("text") < REPEAT_BYTES
     docs = common.materialise(_fixed(docs).select(key.alias("row"), *COLUMNS), "pipeline-rows")
     found = minhash_dedup.near_duplicates(docs, "row").select("row", F.col("component_id").alias("component"))
     about = docs.select("row", "doc_id", F.when(short & F.col("doc_id").isNotNull(), F.sha2(F.col("text").cast("binary"), 256)).alias("same"))
@@ -46,10 +50,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by repeated 400-byte strings are cut. A character of which a byte is cut goes entirely. Documents
-    of which nothing but white space is left are removed; those that were blank before stay."""
-    spans = suffix_dedup.repeated_spans(_fixed(docs), keep=COLUMNS)
-    cut = suffix_dedup.kept_bytes(spans, keep=COLUMNS, whole_characters=True).withColumn("cut", F.col("kept").cast("string"))
+    """Passages of 50 words or more that stand anywhere else too are cut, all their copies: runs covered by repeated
+    strings of 200 bytes. A character of which a byte is cut goes entirely. Documents of which nothing but white space is
+    left are removed; those that were blank before stay."""
+    spans = suffix_dedup.repeated_spans(_fixed(docs), keep=COLUMNS, depth=REPEAT_BYTES)
+    cut = suffix_dedup.kept_bytes(spans, keep=COLUMNS, whole_characters=True, least_words=REPEAT_WORDS).withColumn("cut", F.col("kept").cast("string"))
     left = cut.where((F.size("spans") == 0) | F.col("cut").rlike(r"\S"))
     return _with_text(left, F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("cut")))
 
