@@ -40,17 +40,54 @@ def test_output_path():
 
 
 def test_cusum():
-    assert bars.cusum_ends(np.array([0, 1, 2, 3, 0, -3.0]), 2).tolist() == [3, 4, 5]
+    assert bars.fold_ends(np.array([0, 1, 2, 3, 0, -3.0]), bars.CusumFold(2)).tolist() == [3, 4, 5]
 
 
 def test_folds_are_contiguous(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=3000)
     for fold in (bars.ImbalanceFold(100), bars.RunFold(100)):
-        ends = bars.adaptive_ends(x, fold)
+        ends = bars.fold_ends(x, fold)
         assert len(ends) and (np.diff(ends) > 0).all()
 
 
+def test_streamed_folds_are_folds_of_each_key(spark):
+    """Many keys of a few rows to many, over small Arrow batches: bars as from each series alone."""
+    rng = np.random.default_rng(3)
+    series = {k: rng.normal(100, 5, n).round(2) for k, n in (("a", 1), ("b", 40), ("c", 99), ("d", 100), ("e", 700), (None, 150))}
+    rows = [(DAY + dt.timedelta(seconds=i), k, float(p), float(1 + i % 5), i) for k, xs in series.items() for i, p in enumerate(xs)]
+    df = spark.createDataFrame(rows, "timestamp timestamp, symbol string, price double, size double, id long").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    prepared = bars.prepare_trades(df).orderBy("timestamp").toPandas()
+    kinds = {"imbalance": (bars.imbalance_bars(df, "volume", 100, 5), "signed_volume", lambda: bars.ImbalanceFold(100, 5)), "run": (bars.run_bars(df, "dollar", 100, 5), "signed_dollar_value", lambda: bars.RunFold(100, 5)), "volume": (bars.volume_bars(df, 17), "size", lambda: bars.ThresholdFold(17))}
+    for found, column, fold in kinds.values():
+        got = {(r.symbol, r.bar_id): r.ticks for r in found.ohlcv.collect()}
+        want = {}
+        for k in series:
+            mine = prepared[prepared.symbol.isna() if k is None else prepared.symbol == k]
+            ends = bars.fold_ends(mine[column].to_numpy(), fold())
+            want |= {(k, i): int(n) for i, n in enumerate(np.diff(ends, prepend=-1))}
+        assert got == want and len(want) >= 10
+    closes = df.select("symbol", F.col("timestamp").alias("ts"), F.col("price").alias("close"))
+    got = bars.cusum_events(closes, 8.0, time="ts").groupBy("symbol").count().collect()
+    assert {r.symbol: r["count"] for r in got} == {k: n for k, xs in series.items() if (n := len(bars.fold_ends(xs, bars.CusumFold(8.0))))}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    alone = bars.volume_bars(df.where("symbol is not null"), 17, ()).ohlcv
+    assert alone.agg(F.sum("ticks")).first()[0] > 900
+
+
+def test_etf_trick(spark):
+    p = spark.createDataFrame([(1, "a", 10.0), (2, "a", 11.0), (4, "a", 22.0), (1, "b", 4.0), (2, "b", 2.0), (3, "b", 2.0), (4, "b", 3.0), (3, "c", 1.0), (3, "a", None)], "ts int, asset string, price double")
+    w = spark.createDataFrame([(1, "a", 0.5), (2, "b", 1.0), (9, "d", 1.0)], "ts int, asset string, weight double")
+    got = [r.nav for r in bars.etf_trick(p, w, 2.0).orderBy("ts").collect()]
+    assert got == pytest.approx([2.0, 2 * 1.05, 2 * 1.05, 2 * 1.05 * (1 + 0.5 * 1.0 + 1.0 * 0.5)])
+    for other in (w.where("asset = 'd'"), w.limit(0)):
+        with pytest.raises(ValueError):
+            bars.etf_trick(p, other)
+    with pytest.raises(ValueError):
+        bars.etf_trick(p, w, 0)
+
+
 def test_pca_weights():
     cov = np.array([[2.0, 0.3], [0.3, 1.0]])
     w = bars.pca_weights(cov)
@@ -85,6 +122,43 @@ def test_concurrency_and_uniqueness(spark):
         assert u[s] == pytest.approx(np.mean([1 / want[t] for t in range(s, z + 1)]))
 
 
+def test_sequential_bootstrap(spark):
+    """Draws are those of the plain computation of every weight at every draw; repeated tasks draw the same."""
+    rng = np.random.default_rng(6)
+
+    def plain(start, end, length, rng):
+        counts, out = np.zeros(int(end.max()) + 2), []
+        for _ in range(length):
+            share = 1.0 / (1.0 + counts)
+            mean = np.array([share[a : b + 1].mean() for a, b in zip(start, end)])
+            total = np.cumsum(mean)
+            out.append(min(int(np.searchsorted(total, rng.random() * total[-1], side="right")), len(mean) - 1))
+            counts[start[out[-1]] : end[out[-1]] + 1] += 1
+        return out
+
+    for seed in range(5):
+        start = np.sort(rng.integers(0, 40, 30))
+        end = start + rng.integers(0, 9, 30)
+        assert weights.draw_sequential(start, end, 45, np.random.default_rng(seed)).tolist() == plain(start, end, 45, np.random.default_rng(seed))
+    b = spark.createDataFrame([(k, t) for k in "ab" for t in range(0, 100, 2)], "symbol string, ts int")
+    e = spark.createDataFrame([(k, t, None if t > 90 else t + 7) for k in "ab" for t in range(1, 99, 3)], "symbol string, t0 int, t1 int")
+    got = weights.sequential_bootstrap(b, e, samples=3, length=10)
+    rows = got.collect()
+    assert got.columns == ["symbol", "sample", "draw", "t0"] and len(rows) == 60 and sorted(map(tuple, rows)) == sorted(map(tuple, got.repartition(9).collect()))
+    assert {r.t0 for r in rows} <= set(range(1, 99, 3)) and len({(r.symbol, r.sample, r.draw) for r in rows}) == 60
+    assert weights.sequential_bootstrap(b, e.limit(0)).count() == 0
+
+
+def test_infinite_returns_stay_in_their_events(spark):
+    b = spark.createDataFrame([("a", t, float(p)) for t, p in enumerate([4, 2, 0, 0, 8, 2, 4])], "symbol string, ts int, close double")
+    e = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("a", 2, 4), ("a", 4, 5), ("a", 5, 6)], "symbol string, t0 int, t1 int")
+    got = {r.t0: r.weight for r in weights.return_attribution(b, e).collect()}
+    assert got[1] == math.inf and math.isnan(got[2]) and got[5] == pytest.approx(abs(math.log(0.25) / 2 + math.log(2)))
+    ends = spark.createDataFrame([("a", 0, 2, 0.1, 1.0), ("a", 2, 4, 0.1, 1.0), ("a", 2, 3, 0.1, -1.0)], "symbol string, t0 int, t1 int, trgt double, side double")
+    told = sorted((r.t0, str(r.ret), r.bin) for r in labeling.bins(ends, b).collect())
+    assert told == [(0, "-1.0", 0.0), (2, "inf", 1.0), (2, "nan", 1.0)]
+
+
 def test_time_decay(spark):
     w = spark.createDataFrame([("a", i, 1.0) for i in range(4)], "symbol string, t0 int, weight double")
     assert [r.decay for r in weights.time_decay(w, 1.0).orderBy("t0").collect()] == pytest.approx([1, 1, 1, 1])

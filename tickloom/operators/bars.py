@@ -1,4 +1,4 @@
-"""Event-time bars. Folds whose state resets at data-dependent rows run as grouped kernels; the rest is windows.
+"""Event-time bars. Folds whose state resets at data-dependent rows stream over sorted rows; the rest is windows.
 
 A fold is sequential within ``keys`` (per symbol by default; add a session date to fold
 days in parallel; an empty list folds the whole table as one series in one task).
@@ -8,11 +8,12 @@ Rows are ordered by timestamp and id.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,15 +45,40 @@ def prepare_trades(df: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFr
     return out.withColumns({"signed_tick": F.col("tick_sign"), "signed_volume": F.col("tick_sign") * F.col("size"), "signed_dollar_value": F.col("tick_sign") * F.col("dollar_value")})
 
 
-def threshold_ends(values: np.ndarray, threshold: float) -> np.ndarray:
-    """Rows at which the sum since the last end reaches the threshold; what goes beyond isn't carried over."""
-    ends, total = [], 0.0
-    for i, x in enumerate(values.tolist()):
-        total += x
-        if total >= threshold:
-            ends.append(i)
-            total = 0.0
-    return np.array(ends, np.int64)
+class ThresholdFold:
+    """Closes a bar when the sum since the last end reaches the threshold; what goes beyond isn't carried over."""
+
+    def __init__(self, threshold: float):
+        require(threshold > 0, "threshold must be positive")
+        self.threshold, self.total, self.init = threshold, 0.0, 0
+
+    def step(self, x: float) -> bool:
+        self.total += x
+        if self.total < self.threshold:
+            return False
+        self.total = 0.0
+        return True
+
+
+class CusumFold:
+    """Marks values at which the downward or (else) the upward cumulated change passes the threshold; unknown changes don't count."""
+
+    def __init__(self, threshold: float):
+        require(threshold > 0, "threshold must be positive")
+        self.threshold, self.up, self.down, self.last, self.init = threshold, 0.0, 0.0, None, 0
+
+    def step(self, x: float) -> bool:
+        change, self.last = 0.0 if self.last is None else x - self.last, x
+        if change != change:
+            return False
+        self.up, self.down = max(0.0, self.up + change), min(0.0, self.down + change)
+        if self.down < -self.threshold:
+            self.down = 0.0
+            return True
+        if self.up > self.threshold:
+            self.up = 0.0
+            return True
+        return False
 
 
 class _Ewma:
@@ -131,39 +157,75 @@ class RunFold:
         return True
 
 
-def adaptive_ends(values: np.ndarray, fold: ImbalanceFold | RunFold) -> np.ndarray:
-    fold.seed(values[: fold.init], len(values))
+def fold_ends(values: np.ndarray, fold) -> np.ndarray:
+    """Places of a series at which a fold closes."""
+    if fold.init:
+        fold.seed(values[: fold.init], len(values))
     return np.array([i for i, x in enumerate(values.tolist()) if fold.step(x)], np.int64)
 
 
-def cusum_ends(values: np.ndarray, threshold: float) -> np.ndarray:
-    """Rows at which the downward or (else) the upward cumulated change passes the threshold."""
-    ends, up, down = [], 0.0, 0.0
-    for i, x in enumerate(np.diff(values).tolist(), 1):
-        if x != x:
-            continue
-        up, down = max(0.0, up + x), min(0.0, down + x)
-        if down < -threshold:
-            down = 0.0
-            ends.append(i)
-        elif up > threshold:
-            up = 0.0
-            ends.append(i)
-    return np.array(ends, np.int64)
-
-
-def _folded(prepared: DataFrame, col: str, ends_of: Callable[[np.ndarray], np.ndarray], keys: tuple[str, ...]) -> DataFrame:
-    """``prepared`` with bar_id (from 0) and closes; the kernel sees the ordered values of a key."""
-    schema = prepared.select("*", F.lit(0).cast("long").alias("bar_id"), F.lit(False).alias("closes")).schema
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(ORDER), kind="stable")
-        closes = np.zeros(len(rows), bool)
-        closes[ends_of(rows[col].to_numpy(float))] = True
-        return rows.assign(bar_id=np.cumsum(closes) - closes, closes=closes)
-
-    grouped = prepared.groupBy(*keys) if keys else prepared.groupBy(F.lit(0))
-    return grouped.applyInPandas(run, schema)
+class _Series:
+    """The fold of one key as its rows stream by; rows are held back until the fold has seen the values that seed it."""
+
+    def __init__(self, fold, column: int):
+        self.fold, self.column, self.number, self.held = fold, column, 0, []
+        self.wanted = fold.init
+
+    def add(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not self.wanted:
+            yield self._marked(rows)
+            return
+        self.held.append(rows)
+        if sum(x.num_rows for x in self.held) >= self.wanted:
+            yield from self.end()
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        held, self.held = self.held, []
+        if held and self.wanted:
+            first = np.concatenate([self._values(x) for x in held])[: self.wanted]
+            self.fold.seed(first, len(first))
+            self.wanted = 0
+        for rows in held:
+            yield self._marked(rows)
+
+    def _values(self, rows: pa.RecordBatch) -> np.ndarray:
+        return rows.column(self.column).to_numpy(zero_copy_only=False).astype(float)
+
+    def _marked(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        closes = np.array([self.fold.step(x) for x in self._values(rows).tolist()], bool)
+        ends = np.cumsum(closes)
+        ids = self.number + ends - closes
+        self.number += int(ends[-1]) if len(ends) else 0
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.int64()), pa.array(closes)], [*rows.schema.names, "bar_id", "closes"])
+
+
+def folded(rows: DataFrame, column: str, fold: Callable[[], object], keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """``rows`` with bar_id (from 0) and closes by a fresh fold for each key. Rows have to be clustered by ``keys``; they are
+    sorted within partitions and stream through, a task holding a batch, the fold and the rows that seed it."""
+    at, ids = rows.columns.index(column), [rows.columns.index(k) for k in keys]
+    schema = rows.select("*", F.lit(0).cast("long").alias("bar_id"), F.lit(False).alias("closes")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, series = None, None
+        for batch in batches:
+            runs = [pc.run_end_encode(batch.column(i)).run_ends.to_numpy() for i in ids]
+            edges = np.unique(np.concatenate([[0, batch.num_rows], *runs])).astype(int).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                now = tuple(batch.column(i)[a].as_py() for i in ids)
+                if series is None or now != key:
+                    if series is not None:
+                        yield from series.end()
+                    key, series = now, _Series(fold(), at)
+                yield from series.add(batch.slice(a, b - a))
+        if series is not None:
+            yield from series.end()
+
+    return rows.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _folded(prepared: DataFrame, col: str, fold: Callable[[], object], keys: tuple[str, ...]) -> DataFrame:
+    """The windows that prepared the trades have clustered them by key."""
+    return folded(prepared, col, fold, keys, ORDER)
 
 
 def build_bars(marked: DataFrame, keys: tuple[str, ...] = ("symbol",), keep_open: bool = False) -> Bars:
@@ -202,7 +264,7 @@ def tick_bars(df: DataFrame, threshold: float, keys: tuple[str, ...] = ("symbol"
 
 def _threshold_bars(df: DataFrame, col: str, threshold: float, keys: tuple[str, ...]) -> Bars:
     require(threshold > 0, "threshold must be positive")
-    return build_bars(_folded(prepare_trades(df, keys), col, lambda x: threshold_ends(x, threshold), keys), keys)
+    return build_bars(_folded(prepare_trades(df, keys), col, lambda: ThresholdFold(threshold), keys), keys)
 
 
 def volume_bars(df: DataFrame, threshold: float, keys: tuple[str, ...] = ("symbol",)) -> Bars:
@@ -219,31 +281,29 @@ MEASURES = {"tick": "signed_tick", "volume": "signed_volume", "dollar": "signed_
 
 def imbalance_bars(df: DataFrame, measure: str, init: int = 1000, window: int = 20, keys: tuple[str, ...] = ("symbol",), least: float = 10, most: float = 100_000) -> Bars:
     """Tick, volume or dollar imbalance bars."""
-    return build_bars(_folded(prepare_trades(df, keys), MEASURES[measure], lambda x: adaptive_ends(x, ImbalanceFold(init, window, least, most)), keys), keys)
+    return build_bars(_folded(prepare_trades(df, keys), MEASURES[measure], lambda: ImbalanceFold(init, window, least, most), keys), keys)
 
 
 def run_bars(df: DataFrame, measure: str, init: int = 1000, window: int = 20, keys: tuple[str, ...] = ("symbol",), least: float = 10, most: float = 100_000) -> Bars:
     """Tick, volume or dollar run bars."""
-    return build_bars(_folded(prepare_trades(df, keys), MEASURES[measure], lambda x: adaptive_ends(x, RunFold(init, window, least, most)), keys), keys)
+    return build_bars(_folded(prepare_trades(df, keys), MEASURES[measure], lambda: RunFold(init, window, least, most), keys), keys)
 
 
 def cusum_events(df: DataFrame, threshold: float, value: str = "close", time: str = "timestamp", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """(keys, time) of the events of the symmetric CUSUM filter."""
     require(threshold > 0, "threshold must be positive")
-    rows = df.select(*keys, time, value)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(time, kind="stable")
-        return part.iloc[cusum_ends(part[value].to_numpy(float), threshold)][[*keys, time]]
-
-    grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit(0))
-    return grouped.applyInPandas(run, rows.select(*keys, time).schema)
+    rows = df.select(*keys, time, F.col(value).cast("double").alias(value))
+    rows = rows.repartition(*keys) if keys else rows.repartition(1)
+    return folded(rows, value, lambda: CusumFold(threshold), keys, (time,)).where("closes").select(*keys, time)
 
 
 def etf_trick(prices: DataFrame, weights: DataFrame, initial: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """Net asset value of long tables (ts, asset, price) and (ts, asset, weight): weights are carried forward over price
-    dates, a date earns the weights of the date before."""
+    dates, a date earns the weights of the date before. Assets without a weight don't count; no common asset is an error."""
     require(initial > 0, "initial value must be positive")
+    common = prices.select("asset").distinct().join(weights.select("asset").distinct(), "asset", "left_semi")
+    require(not common.isEmpty(), "prices and weights share no asset")
+    prices = prices.join(weights.select("asset").distinct(), "asset", "left_semi").select(prices.columns)
     by = Window.partitionBy(*keys, "asset").orderBy("ts")
     before = by.rowsBetween(Window.unboundedPreceding, 0)
     both = prices.join(weights.select(*keys, "ts", "asset", "weight"), [*keys, "ts", "asset"], "left")

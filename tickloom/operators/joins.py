@@ -24,10 +24,14 @@ def asof(left: DataFrame, right: DataFrame, keys: tuple[str, ...], on: str, valu
     return both.where("__r = 0").select("__row.*", F.col("__v").alias(alias), F.col("__t").alias(f"{alias}_at"))
 
 
-def range_join(points: DataFrame, intervals: DataFrame, keys: tuple[str, ...], point: str, low: str, high: str, width: float) -> DataFrame:
+def range_join(points: DataFrame, intervals: DataFrame, keys: tuple[str, ...], point: str, low: str, high: str, width: float | None = None) -> DataFrame:
     """Points with low <= point <= high: an equi-join on buckets of ``width`` and the exact condition. Numbers or timestamps
-    (in seconds); names must differ apart from the keys."""
+    (in seconds); names must differ apart from the keys. Without ``width`` buckets are as wide as the mean interval: all
+    intervals together then take at most two bucket rows each, and a bucket holds about the points of one interval."""
     number = lambda df, c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6 if df.schema[c].dataType.typeName().startswith("timestamp") else F.col(c).cast("double")
+    if width is None:
+        span = F.avg(number(intervals, high) - number(intervals, low))
+        width = max(intervals.where(F.col(low) <= F.col(high)).agg(span.alias("w")).first()["w"] or 1.0, 1e-6)
     p = points.withColumn("__b", F.floor(number(points, point) / width))
     i = intervals.where(F.col(low) <= F.col(high)).withColumn("__b", F.explode(F.sequence(F.floor(number(intervals, low) / width), F.floor(number(intervals, high) / width))))
     return p.join(i, [*keys, "__b"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__b")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.contracts import require
 from tickloom.functions.columns import ordered, quotient
 from tickloom.operators.joins import asof, range_join
 
@@ -40,7 +41,7 @@ def vertical_barriers(events: DataFrame, bars: DataFrame, num_bars: int = 1, key
     return events.select(*keys, "t0").join(ahead, [*keys, "t0"]).where(F.col("t1").isNotNull())
 
 
-def barrier_touches(bars: DataFrame, events: DataFrame, pt: float, sl: float, bucket_seconds: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def barrier_touches(bars: DataFrame, events: DataFrame, pt: float, sl: float, bucket_seconds: float | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """``events`` plus first times ``sl`` and ``pt`` at which the path return passes -sl * trgt or pt * trgt.
 
     The path runs over [t0, t1], to the last bar if t1 is null; a multiplier of 0 or less switches a barrier off. Bars and
@@ -58,7 +59,7 @@ def barrier_touches(bars: DataFrame, events: DataFrame, pt: float, sl: float, bu
     return events.join(touched, [*keys, "t0"], "left")
 
 
-def triple_barrier_events(bars: DataFrame, events: DataFrame, pt: float, sl: float, min_ret: float, bucket_seconds: float = 86400.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def triple_barrier_events(bars: DataFrame, events: DataFrame, pt: float, sl: float, min_ret: float, bucket_seconds: float | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, t0, t1, trgt[, side]) from events (keys, t0, t1, trgt[, side]): those with trgt > min_ret, t1 the earliest of
     the three barriers. Without a side column the side is long and both barriers use ``pt``."""
     with_side = "side" in events.columns
@@ -87,8 +88,10 @@ def bins(events: DataFrame, bars: DataFrame, keys: tuple[str, ...] = KEYS) -> Da
 
 
 def drop_labels(labels: DataFrame, min_share: float = 0.05) -> DataFrame:
-    """Drop the rarest class again and again while its share is at most ``min_share`` and three classes are left."""
-    counts = {r["bin"]: r["n"] for r in labels.where(F.col("bin").isNotNull()).groupBy("bin").agg(F.count("*").alias("n")).limit(10_000).collect()}
+    """Drop the rarest class again and again while its share is at most ``min_share`` and three classes are left. A row a
+    class reaches the driver; more than 10,000 classes are an error."""
+    counts = {r["bin"]: r["n"] for r in labels.where(F.col("bin").isNotNull()).groupBy("bin").agg(F.count("*").alias("n")).limit(10_001).collect()}
+    require(len(counts) <= 10_000, "more than 10,000 classes")
     gone = []
     while len(counts) > 2:
         rare = min(counts, key=lambda k: (counts[k], k))

@@ -6,6 +6,7 @@ Bars are (keys, ts[, close]) with unique ts; events (keys, t0, t1), t1 null: to
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tickloom.contracts import require
 from tickloom.functions.columns import log, ordered, ratio, running
-from tickloom.operators.joins import asof, interval_sums, range_join
+from tickloom.operators.joins import asof, interval_sums, range_join, with_position
 
 KEYS = ("symbol",)
 
@@ -76,7 +77,7 @@ def time_decay(weights: DataFrame, last: float = 1.0, time: str = "t0", weight:
     return weights.withColumn("decay", F.greatest(F.lit(0.0), 1 - slope * total + slope * F.sum(weight).over(running(list(keys), time))))
 
 
-def indicator_matrix(bars: DataFrame, events: DataFrame, bucket: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def indicator_matrix(bars: DataFrame, events: DataFrame, bucket: float | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Sparse indicator matrix: (keys, ts, t0) of the bars within each event."""
     last = bars.groupBy(*keys).agg(F.max("ts").alias("__last"))
     spans = events.select(*keys, "t0", "t1").join(last, list(keys)).select(*keys, "t0", F.coalesce("t1", "__last").alias("t1"))
@@ -91,15 +92,33 @@ def matrix_uniqueness(matrix: DataFrame, row: str = "ts", event: str = "t0", key
 
 def draw_sequential(start: np.ndarray, end: np.ndarray, length: int, rng: np.random.Generator) -> np.ndarray:
     """Sequential bootstrap over events [start, end] (bar numbers): each draw weighs events by their uniqueness given those
-    drawn so far."""
-    counts = np.zeros(int(end.max()) + 2 if len(end) else 1)
+    drawn so far. A draw changes the weights of the events that overlap it only; sums of blocks of weights find the next one."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    n = len(start)
+    if not n:
+        return np.zeros(0, np.int64)
+    longest, counts = int((end - start).max()) + 1, np.zeros(int(end.max()) + 2)
+    block = max(1, math.isqrt(n))
+    edges = np.arange(0, n, block)
+    weight = np.ones(n)
+    sums = np.add.reduceat(weight, edges)
     drawn = np.empty(length, np.int64)
     for k in range(length):
-        sums = np.append(0.0, np.cumsum(1.0 / (1.0 + counts)))
-        mean = (sums[end + 1] - sums[start]) / (end - start + 1)
-        drawn[k] = rng.choice(len(start), p=mean / mean.sum())
-        counts[start[drawn[k]] : end[drawn[k]] + 1] += 1
-    return drawn
+        upto = np.cumsum(sums)
+        at = rng.random() * upto[-1]
+        j = min(int(np.searchsorted(upto, at, side="right")), len(edges) - 1)
+        inner = np.cumsum(weight[edges[j] : edges[j] + block])
+        i = int(edges[j] + min(np.searchsorted(inner, at - (upto[j] - sums[j]), side="right"), len(inner) - 1))
+        drawn[k] = i
+        counts[start[i] : end[i] + 1] += 1
+        low, high = np.searchsorted(start, [start[i] - longest, end[i] + 1])
+        first, last = int(start[low]), int(end[low:high].max())
+        mass = np.append(0.0, np.cumsum(1.0 / (1.0 + counts[first : last + 1])))
+        weight[low:high] = (mass[end[low:high] + 1 - first] - mass[start[low:high] - first]) / (end[low:high] - start[low:high] + 1)
+        touched = slice(low // block, (high - 1) // block + 1)
+        sums[touched] = np.add.reduceat(weight[edges[touched][0] : min(n, edges[touched][-1] + block)], edges[touched] - edges[touched][0])
+    return order[drawn]
 
 
 def sample_uniqueness(start: np.ndarray, end: np.ndarray, drawn: np.ndarray) -> float:
@@ -122,17 +141,27 @@ def random_events(count: int, bars: int, longest: int, rng: np.random.Generator)
     return np.array([a for a, _ in pairs]), np.array([b for _, b in pairs])
 
 
-def sequential_bootstrap(spark: SparkSession, events: list[tuple[int, int]], samples: int, length: int | None = None, seed: int = 0) -> DataFrame:
-    """(sample, draw, event): ``samples`` independent sequential bootstraps of one small event list, a task a range of samples."""
-    start, end = (np.array([e[i] for e in events], np.int64) for i in (0, 1))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for i in part["id"]:
-                drawn = draw_sequential(start, end, length or len(start), np.random.default_rng([seed, int(i)]))
-                yield pd.DataFrame({"sample": i, "draw": np.arange(len(drawn)), "event": drawn})
-
-    return spark.range(samples).mapInPandas(run, "sample long, draw long, event long")
+def sequential_bootstrap(bars: DataFrame, events: DataFrame, samples: int = 1, length: int | None = None, seed: int = 0, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, sample, draw, t0): independent sequential bootstraps of each key's events, of ``length`` draws (as many as it
+    has events by default). Draws depend on all before them, so a sample of a key is one task that holds two numbers an
+    event; events that begin or end off the bars count from the next bar on, up to the last one before."""
+    last = bars.groupBy(*keys).agg(F.max("ts").alias("__last"))
+    spans = events.join(last, list(keys)).select(*keys, "t0", F.coalesce("t1", "__last").alias("t1"))
+    number = with_position(bars.select(*keys, "ts"), ["ts"], keys, "__n")
+    begin = asof(spans.withColumn("ts", F.col("t0")), number, keys, "ts", "__n", forward=True, alias="s").drop("ts", "s_at")
+    whole = asof(begin.withColumn("ts", F.col("t1")), number, keys, "ts", "__n", alias="e").where("s <= e").select(*keys, "t0", "s", "e")
+    rows = whole.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).select(*keys, "sample", "t0", "s", "e")
+    schema = rows.select(*keys, "sample", F.lit(0).cast("long").alias("draw"), "t0").schema
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["s", "t0"], kind="stable").reset_index(drop=True)
+        sample = int(part["sample"].iloc[0])
+        text = "|".join(str(part[k].iloc[0]) for k in keys)
+        rng = np.random.default_rng([seed, sample, zlib.crc32(text.encode())])
+        drawn = draw_sequential(part["s"].to_numpy(), part["e"].to_numpy(), length or len(part), rng)
+        return part.loc[drawn, [*keys, "sample", "t0"]].assign(draw=np.arange(len(drawn)))[schema.names]
+
+    return rows.groupBy(*keys, "sample").applyInPandas(run, schema)
 
 
 def monte_carlo_jobs(spark: SparkSession, count: int = 10, bars: int = 100, longest: int = 5, trials: int = 1_000_000) -> DataFrame:

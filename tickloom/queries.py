@@ -42,11 +42,12 @@ def _closes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(closes: DataFrame) -> DataFrame:
-    """Every 20th bar, ten bars long; the return over five bars gives the target and the side."""
+    """Every bar that has one five bars before, ten bars long; the return since then gives the target (up to 1.05) and the side."""
     w = ordered(["symbol"], "ts")
-    rows = closes.withColumns({"n": F.row_number().over(w), "t1": F.lead("ts", 10).over(w), "was": F.lag("close", 5).over(w)})
+    rows = closes.withColumns({"t1": F.lead("ts", 10).over(w), "was": F.lag("close", 5).over(w)})
     ret = quotient(F.col("close"), F.col("was")) - 1
-    return rows.where("n % 20 = 0").select("symbol", F.col("ts").alias("t0"), "t1", (F.abs(ret) / 4 + 0.05).alias("trgt"), F.when(ret >= 0, 1.0).otherwise(-1.0).alias("side"))
+    target = F.least(F.abs(ret), F.lit(4.0)) / 4 + 0.05
+    return rows.where("was is not null").select("symbol", F.col("ts").alias("t0"), "t1", target.alias("trgt"), F.when(ret >= 0, 1.0).otherwise(-1.0).alias("side"))
 
 
 _TRADES = """trades AS (SELECT ts AS timestamp, event_type AS symbol, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS size, event_id AS id FROM events)"""
@@ -73,14 +74,14 @@ fold AS (
 
 _CLOSES = "closes AS (SELECT event_type AS symbol, ts, max(value) AS close FROM events GROUP BY ALL)"
 _EVENTS = f"""{_CLOSES},
-placed AS (SELECT *, row_number() OVER w AS n, lead(ts, 10) OVER w AS t1, lag(close, 5) OVER w AS was, max(ts) OVER (PARTITION BY symbol) AS last_ts FROM closes WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-ev AS (SELECT symbol, ts AS t0, t1, abs(close / was - 1) / 4 + 0.05 AS trgt, CASE WHEN close / was - 1 >= 0 THEN 1.0::DOUBLE ELSE -1.0 END AS side, close AS p0, last_ts FROM placed WHERE n % 20 = 0)"""
-_COUNTED = f"""{_EVENTS},
-conc AS (SELECT b.symbol, b.ts, count(e.t0) AS concurrency FROM closes b
-    JOIN (SELECT symbol, min(t0) AS a, max(coalesce(t1, last_ts)) AS z FROM ev GROUP BY symbol) s ON s.symbol = b.symbol AND b.ts BETWEEN s.a AND s.z
-    LEFT JOIN ev e ON e.symbol = b.symbol AND b.ts BETWEEN e.t0 AND coalesce(e.t1, e.last_ts) GROUP BY ALL)"""
-_TOUCHED = f"""{_EVENTS},
-path AS (SELECT e.symbol, e.t0, e.trgt, b.ts, (b.close / e.p0 - 1) * e.side AS gain FROM ev e JOIN closes b ON b.symbol = e.symbol AND b.ts BETWEEN e.t0 AND coalesce(e.t1, e.last_ts) WHERE e.trgt > 0.1),
+placed AS (SELECT *, row_number() OVER w AS n, lead(ts, 10) OVER w AS t1, lag(close, 5) OVER w AS was FROM closes WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+ev AS (SELECT symbol, n, ts AS t0, t1, least(abs(close / was - 1), 4) / 4 + 0.05 AS trgt, CASE WHEN close / was - 1 >= 0 THEN 1.0::DOUBLE ELSE -1.0 END AS side, close AS p0 FROM placed WHERE was IS NOT NULL)"""
+_SPANS = f"""{_EVENTS},
+span AS (SELECT e.symbol, e.t0, e.trgt, e.side, e.p0, p.ts, p.close FROM (SELECT *, unnest(range(11)) AS k FROM ev) e JOIN placed p ON p.symbol = e.symbol AND p.n = e.n + e.k)"""
+_COUNTED = f"""{_SPANS},
+conc AS (SELECT symbol, ts, count(*) AS concurrency FROM span GROUP BY ALL)"""
+_TOUCHED = f"""{_SPANS},
+path AS (SELECT symbol, t0, trgt, ts, (close / p0 - 1) * side AS gain FROM span WHERE trgt > 0.1),
 touched AS (SELECT symbol, t0, min(ts) FILTER (gain < -2 * trgt) AS sl, min(ts) FILTER (gain > 1.5 * trgt) AS pt FROM path GROUP BY ALL),
 done AS (SELECT ev.symbol, ev.t0, least(ev.t1, sl, pt) AS t1, ev.trgt, ev.side FROM ev LEFT JOIN touched USING (symbol, t0) WHERE ev.trgt > 0.1)"""
 
@@ -209,14 +210,14 @@ def concurrency(spark, sf_dir):
     return weights.concurrency(closes, _events(closes))
 
 
-@query(f"""WITH {_COUNTED} SELECT e.symbol, e.t0, round(avg(1.0 / c.concurrency), 6) AS weight FROM ev e JOIN conc c ON c.symbol = e.symbol AND c.ts BETWEEN e.t0 AND coalesce(e.t1, e.last_ts) GROUP BY ALL""")
+@query(f"""WITH {_COUNTED} SELECT s.symbol, s.t0, round(avg(1.0 / c.concurrency), 6) AS weight FROM span s JOIN conc c USING (symbol, ts) GROUP BY ALL""")
 def average_uniqueness(spark, sf_dir):
     closes = _closes(spark, sf_dir)
     return _round(weights.average_uniqueness(closes, _events(closes)))
 
 
 @query(f"""WITH {_COUNTED}, r AS (SELECT symbol, ts, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY ts) AS r FROM closes)
-SELECT e.symbol, e.t0, round(abs(sum(r.r / c.concurrency)), 6) AS weight FROM ev e JOIN conc c ON c.symbol = e.symbol AND c.ts BETWEEN e.t0 AND coalesce(e.t1, e.last_ts) JOIN r ON r.symbol = c.symbol AND r.ts = c.ts GROUP BY ALL""")
+SELECT s.symbol, s.t0, round(abs(sum(r.r / c.concurrency)), 6) AS weight FROM span s JOIN conc c USING (symbol, ts) JOIN r USING (symbol, ts) GROUP BY ALL""")
 def return_attribution(spark, sf_dir):
     closes = _closes(spark, sf_dir)
     return _round(weights.return_attribution(closes, _events(closes)))
@@ -228,22 +229,23 @@ def time_decay(spark, sf_dir):
     return _round(weights.time_decay(_events(_closes(spark, sf_dir)).select("symbol", "t0", F.col("trgt").alias("weight")), 0.5), 9)
 
 
-@query(f"WITH {_EVENTS} SELECT b.symbol, b.ts, e.t0 FROM ev e JOIN closes b ON b.symbol = e.symbol AND b.ts BETWEEN e.t0 AND coalesce(e.t1, e.last_ts)")
+@query(f"WITH {_SPANS} SELECT symbol, ts, t0 FROM span")
 def indicator_matrix(spark, sf_dir):
     closes = _closes(spark, sf_dir)
-    return weights.indicator_matrix(closes, _events(closes), 86400.0)
+    return weights.indicator_matrix(closes, _events(closes))
 
 
-@query(f"""WITH {_EVENTS}, m AS (SELECT b.symbol, b.ts, e.t0, count(*) OVER (PARTITION BY b.symbol, b.ts) AS c FROM ev e JOIN closes b ON b.symbol = e.symbol AND b.ts BETWEEN e.t0 AND coalesce(e.t1, e.last_ts))
+@query(f"""WITH {_SPANS}, m AS (SELECT symbol, ts, t0, count(*) OVER (PARTITION BY symbol, ts) AS c FROM span)
 SELECT symbol, t0, round(avg(1.0 / c), 6) AS uniqueness FROM m GROUP BY ALL""")
 def matrix_uniqueness(spark, sf_dir):
     closes = _closes(spark, sf_dir)
-    return _round(weights.matrix_uniqueness(weights.indicator_matrix(closes, _events(closes), 86400.0)))
+    return _round(weights.matrix_uniqueness(weights.indicator_matrix(closes, _events(closes))))
 
 
 @query()
 def sequential_bootstrap(spark, sf_dir):
-    return weights.sequential_bootstrap(spark, [(i * 3, i * 3 + 5) for i in range(20)], 50)
+    closes = _closes(spark, sf_dir)
+    return weights.sequential_bootstrap(closes, _events(closes))
 
 
 @query()
@@ -340,12 +342,18 @@ def backtest_paths(spark, sf_dir):
 def _returns(spark, sf_dir):
     daily = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.date_trunc("month", "o_orderdate").alias("m"), F.col("o_orderpriority").alias("strategy")).agg(F.sum("o_totalprice").alias("x"))
     by = ordered(["strategy"], "m")
-    moved = daily.withColumn("ret", F.col("x") / F.lag("x").over(by) - 1).withColumn("pos", F.row_number().over(by) - 2).where("ret is not null")
-    return moved.where("pos < 72").select("pos", "strategy", "ret")
+    moved = daily.withColumn("ret", quotient(F.col("x"), F.lag("x").over(by)) - 1).withColumn("pos", F.row_number().over(by) - 2).where("ret is not null")
+    return moved.select("pos", "strategy", "ret")
+
+
+def _blocks(returns: DataFrame, blocks: int) -> DataFrame:
+    """Blocks are equally long: the oldest rows beyond a multiple of their number go (fewer than ``blocks`` of them)."""
+    spare = returns.agg((F.count_distinct("pos") % blocks).alias("spare"))
+    return returns.join(F.broadcast(spare)).where("pos >= spare").select((F.col("pos") - F.col("spare")).alias("pos"), "strategy", "ret")
 
 
 _RETURNS = """m AS (SELECT date_trunc('month', o_orderdate) AS m, o_orderpriority AS strategy, sum(o_totalprice) AS x FROM orders GROUP BY ALL),
-r AS (SELECT * FROM (SELECT strategy, x / lag(x) OVER w - 1 AS ret, row_number() OVER w - 2 AS pos FROM m WINDOW w AS (PARTITION BY strategy ORDER BY m)) WHERE ret IS NOT NULL AND pos < 72)"""
+r AS (SELECT * FROM (SELECT strategy, x / lag(x) OVER w - 1 AS ret, row_number() OVER w - 2 AS pos FROM m WINDOW w AS (PARTITION BY strategy ORDER BY m)) WHERE ret IS NOT NULL)"""
 
 
 @query(f"WITH {_RETURNS} SELECT strategy, round(avg(ret - 0.001) / stddev_samp(ret - 0.001) * sqrt(12), 6) AS sharpe FROM r GROUP BY strategy")
@@ -353,7 +361,7 @@ def sharpe_ratio(spark, sf_dir):
     return _round(overfitting.sharpe_ratio(_returns(spark, sf_dir), risk_free=0.001, periods=12))
 
 
-_CSCV = f"""{_RETURNS}, b AS (SELECT pos // 12 AS block, * FROM r),
+_CSCV = f"""{_RETURNS}, z AS (SELECT count(DISTINCT pos) AS n FROM r), b AS (SELECT (pos - n % 6) // (n // 6) AS block, r.* FROM r, z WHERE pos >= n % 6),
 c AS (SELECT row_number() OVER (ORDER BY x, y, z) - 1 AS split, [x, y, z] AS t FROM (SELECT unnest(range(6)) AS x), (SELECT unnest(range(6)) AS y), (SELECT unnest(range(6)) AS z) WHERE x < y AND y < z),
 s AS (SELECT split, strategy, avg(ret) FILTER (list_contains(t, block)) / stddev_samp(ret) FILTER (list_contains(t, block)) * sqrt(252) AS i, avg(ret) FILTER (NOT list_contains(t, block)) / stddev_samp(ret) FILTER (NOT list_contains(t, block)) * sqrt(252) AS o FROM b, c GROUP BY ALL),
 k AS (SELECT *, (rank() OVER (PARTITION BY split ORDER BY o) + (count(*) OVER (PARTITION BY split, o) - 1) / 2.0) / (count(*) OVER (PARTITION BY split) + 1) AS q, row_number() OVER (PARTITION BY split ORDER BY i DESC, strategy) AS n FROM s)"""
@@ -361,12 +369,12 @@ k AS (SELECT *, (rank() OVER (PARTITION BY split ORDER BY o) + (count(*) OVER (P
 
 @query(f"WITH {_CSCV} SELECT CAST(split AS INT) AS split, strategy, round(i, 6) AS is_metric, round(o, 6) AS oos_metric, round(q, 6) AS relative_rank, round(ln(q / (1 - q)), 6) AS logit FROM k WHERE n = 1")
 def symmetric_cross_validation(spark, sf_dir):
-    return _round(overfitting.cscv(_returns(spark, sf_dir), 6).drop("in_blocks", "out_blocks"))
+    return _round(overfitting.cscv(_blocks(_returns(spark, sf_dir), 6), 6).drop("in_blocks", "out_blocks"))
 
 
 @query(f"WITH {_CSCV} SELECT round(avg(CASE WHEN ln(q / (1 - q)) <= 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo FROM k WHERE n = 1")
 def overfitting_probability(spark, sf_dir):
-    return _round(overfitting.overfitting_probability(overfitting.cscv(_returns(spark, sf_dir), 6)))
+    return _round(overfitting.overfitting_probability(overfitting.cscv(_blocks(_returns(spark, sf_dir), 6), 6)))
 
 
 _PHI = "(0.5 + exp(-x * x) * list_sum(list_transform(range(0, 121), lambda i: CASE WHEN x = 0 THEN 0 ELSE sign(x) * exp(i * ln(2.0) + (2 * i + 1) * ln(abs(x)) - (lgamma(2 * i + 2.0) - i * ln(2.0) - lgamma(i + 1.0))) END)) / sqrt(pi()))"
@@ -378,9 +386,9 @@ def _bets(spark, sf_dir):
     return events.select("symbol", "t0", "t1", prob.alias("prob"), F.lit(1.0).alias("pred"), "side")
 
 
-_BETS = f"""{_EVENTS}, p AS (SELECT symbol, t0, t1, 0.5 + least(trgt, 0.9) / 2 AS p, side FROM ev), z AS (SELECT *, greatest(-6, least(6, (p - 0.5) / sqrt(p * (1 - p)))) / sqrt(2.0) AS x FROM p),
-sig AS (SELECT symbol, t0, t1, side * (2 * {_PHI} - 1) AS s FROM z), ti AS (SELECT symbol, t0 AS t FROM sig UNION SELECT symbol, t1 FROM sig WHERE t1 IS NOT NULL),
-act AS (SELECT ti.symbol, ti.t, coalesce(avg(s), 0) AS s FROM ti LEFT JOIN sig ON sig.symbol = ti.symbol AND sig.t0 <= ti.t AND (sig.t1 IS NULL OR ti.t < sig.t1) GROUP BY ALL)"""
+_BETS = f"""{_EVENTS}, p AS (SELECT symbol, n, 0.5 + least(trgt, 0.9) / 2 AS p, side FROM ev), z AS (SELECT *, greatest(-6, least(6, (p - 0.5) / sqrt(p * (1 - p)))) / sqrt(2.0) AS x FROM p),
+sig AS (SELECT symbol, n, side * (2 * {_PHI} - 1) AS s FROM z),
+act AS (SELECT p.symbol, p.ts AS t, avg(s) AS s FROM (SELECT *, unnest(range(10)) AS k FROM sig) g JOIN placed p ON p.symbol = g.symbol AND p.n = g.n + g.k GROUP BY ALL)"""
 
 
 @query(f"WITH {_BETS} SELECT symbol, t, round(s, 6) AS signal FROM act")

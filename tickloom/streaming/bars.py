@@ -17,42 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickloom.contracts import require
-from tickloom.operators.bars import ImbalanceFold, RunFold
+from tickloom.operators.bars import CusumFold, ImbalanceFold, RunFold, ThresholdFold
 
 _BAR = "symbol string, bar_id long, start timestamp, end timestamp, open double, high double, low double, close double, volume double, dollar_value double, ticks long, buy_volume double, sell_volume double"
 
 
-class ThresholdFold:
-    def __init__(self, threshold: float):
-        require(threshold > 0, "threshold must be positive")
-        self.threshold, self.total, self.init = threshold, 0.0, 0
-
-    def step(self, x: float) -> bool:
-        self.total += x
-        if self.total < self.threshold:
-            return False
-        self.total = 0.0
-        return True
-
-
-class CusumFold:
-    def __init__(self, threshold: float):
-        require(threshold > 0, "threshold must be positive")
-        self.threshold, self.up, self.down, self.last = threshold, 0.0, 0.0, None
-
-    def step(self, x: float) -> bool:
-        change, self.last = 0.0 if self.last is None else x - self.last, x
-        self.up, self.down = max(0.0, self.up + change), min(0.0, self.down + change)
-        if self.down < -self.threshold:
-            self.down = 0.0
-            return True
-        if self.up > self.threshold:
-            self.up = 0.0
-            return True
-        return False
-
-
 class _Series:
     """State of one key."""
 
