@@ -28,13 +28,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the files of tables that ``materialise`` wrote and nothing reads any more."""
+    """Delete tables that ``materialise`` returned and whose readers have all been written. Lost executors don't need them:
+    what was made of them is in tables of its own."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
-        for file in df.inputFiles()[:1]:
-            folder = path(file).getParent()
-            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
