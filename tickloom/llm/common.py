@@ -4,43 +4,19 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.storage import discard, fresh_path, materialise  # noqa: F401  the operators take them from here
+
 #: Bytes of text that a kernel works on at once; bounds its temporary arrays.
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session leaves it unset (a local test) a temporary folder is taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(spark, "_tickloom_dir", None)
-        if base is None:
-            base = spark._tickloom_dir = "file://" + tempfile.mkdtemp(prefix="tickloom-")
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of an Arrow batch between the JVM and a worker; bounds both sides' buffers, however long the texts are.
 ARROW_BYTES = 8 << 20
 
@@ -178,22 +154,27 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     graph shrinks by a constant factor however its ids are ordered. All steps are
     partial aggregations and key joins; nothing reaches the driver but row counts.
     """
-    spark = edges.sparkSession
     graph = materialise(edges.where("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), name)
     names = materialise(graph.selectExpr("a id").union(graph.selectExpr("b id")).distinct().selectExpr("id", "id top"), name)
-    turn = 0
+    turn, steps, written = 0, [], names
     while not graph.isEmpty():
         rank = lambda c, t=turn: F.struct(F.xxhash64(F.col(c), F.lit(t)).alias("h"), F.col(c).alias("v"))
         both = graph.union(graph.select("b", "a")).toDF("a", "b")
         best = both.groupBy(F.col("a").alias("id")).agg(F.min(rank("b")).alias("n"))
         step = materialise(best.select("id", F.when(rank("id") < F.col("n"), F.col("id")).otherwise(F.col("n.v")).alias("to")), name)
+        steps.append(step)
         names = names.join(step, names["top"] == step["id"], "left").select(names["id"], F.coalesce("to", "top").alias("top"))
-        graph = graph.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")
-        graph = materialise(graph.selectExpr("least(x, y) a", "greatest(x, y) b").distinct(), name)
+        last, joined = graph, graph.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")
+        graph = materialise(joined.selectExpr("least(x, y) a", "greatest(x, y) b").distinct(), name)
+        discard(last)
         turn += 1
         if turn % 3 == 0:
             names = materialise(names, name)
-    names = materialise(names, name)
+            discard(written, *steps)
+            written, steps = names, []
+    if steps:
+        names = materialise(names, name)
+        discard(written, *steps)
     least = names.groupBy("top").agg(F.min("id").alias("component"))
     return names.join(least, "top").select("id", "component")
 
@@ -210,5 +191,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, chosen, id_col: str, tex
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("__b"))
     rows = texts.where(F.octet_length("__b") <= most_bytes).join(F.broadcast(known), "__id")
     rows = rows.groupBy("__id", "__order", "__y").agg(F.min("__b").alias("__b")).coalesce(16)
-    for r in materialise(rows, "labelled-sample").select("__order", "__b", "__y").toLocalIterator():
+    held = materialise(rows, "labelled-sample")
+    for r in held.select("__order", "__b", "__y").toLocalIterator():
         yield r[0], bytes(r[1]), r[2]
+    discard(held)

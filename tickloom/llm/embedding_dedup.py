@@ -169,6 +169,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     dealt = told.withColumn("own", mine).select("*", F.explode(pairs).alias("p")).select("cid", "mult", "label", "dims", "leaf", "vector", "leaves", "p.i", "p.j", "p.side")
     found = dealt.groupBy("label", "dims", "leaf", "i", "j").applyInArrow(lambda t: _compare(t, cosine), "cid long, n long, root long")
     found = common.materialise(found, "vector-links")
+    common.discard(routed)
     sums = found.groupBy("cid").agg(F.sum("n").alias("n"))
     parts = common.components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), "vector-components")
     named = classes.join(sums, "cid", "left").join(parts, classes["cid"] == parts["id"], "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))

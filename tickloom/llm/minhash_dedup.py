@@ -212,11 +212,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = F.min(F.struct("rep", "n_shingles"))
     buckets = reps.groupBy("band").agg(first.alias("low"), F.max("rep").alias("high")).where("low.rep < high").select("band", F.col("low.rep").alias("low"), F.col("low.n_shingles").alias("m"))
     members = common.materialise(reps.join(buckets, "band").select("band", "rep", "n_shingles", "low", "m").distinct(), "minhash-buckets")
+    spent = [signed, members]
     sets = common.materialise(shingle_sets(df, members.select(F.col("rep").alias("id")).distinct(), words), "minhash-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        both = common.materialise(pairs, "minhash-pairs").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        spent.append(common.materialise(pairs, "minhash-pairs"))
+        both = spent[-1].join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b")
 
@@ -227,12 +229,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     close = F.least("n_shingles", "m") * 100 >= F.greatest("n_shingles", "m") * percent  # a linked pair's sizes are at least this close
     stars = members.where(close).select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    spent.append(sets)
     edges = common.materialise(verified(stars).union(shared), "minhash-links")
     label = common.materialise(common.components(edges), "minhash-labels")
+    spent += [edges, label]
 
     # What is left: members of a bucket that are in different components, without the one all others were compared with.
     mine = members.where("rep <> low").join(label.toDF("rep", "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("mine"))
     mine = common.materialise(mine, "minhash-open")
+    spent.append(mine)
     many = mine.groupBy("band").agg(F.min("mine").alias("x"), F.max("mine").alias("y"), F.count("*").alias("m")).where("x <> y").select("band", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     about = full.join(classes, keys).where("id = rep").select("rep", "n_shingles", "bands", "sig").dropDuplicates(["rep", "n_shingles"])
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -242,11 +247,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = verified(common.arrow_map(dealt, lambda b: _match_blocks(b, percent, agree), "a long, b long"))
     component_of = lambda c: F.coalesce("component", c).alias(c)
     more = more.join(label.toDF("a", "component"), "a", "left").select(component_of("a"), "b").join(label.toDF("b", "component"), "b", "left").select("a", component_of("b"))
-    merged = common.components(common.materialise(more, "minhash-links"))
+    linked = common.materialise(more, "minhash-links")
+    merged = common.components(linked)
     everyone = label.union(merged.select("id", F.col("id"))).distinct()
     final = everyone.join(merged.toDF("component", "top"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     final = common.materialise(final.groupBy("id").agg(F.min("component").alias("component")), "minhash-components")
     named = classes.join(final, classes["rep"] == final["id"], "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
-    answer = signed.select("id", *keys).join(named, keys, "left")
+    slim = common.materialise(signed.select("id", *keys), "minhash-sizes")
+    common.discard(*spent, linked)
+    answer = slim.join(named, keys, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return answer.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

@@ -153,6 +153,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     chosen = long.select("k1", "k2", "uid", "bytes").join(runs.join(copies, ["k1", "k2"]), ["k1", "k2", "uid"])
     found = common.arrow_map(chosen.select("k1", "k2", "runs", "bytes"), lambda b: _contexts(b, depth), "h long, k1 long, k2 long, start int, context binary")
     contexts = common.materialise(found.withColumn("c", F.xxhash64("context")), "suffix-contexts")
+    common.discard(anchors)
     # Equal contexts are sorted once; map-side aggregation merges those of a hot anchor before the shuffle.
     unique = contexts.groupBy("h", "c", "context").agg(*ends).select("h", "c", "context", (F.col("p") != F.col("q")).alias("many"))
     shards = unique.repartition("h").sortWithinPartitions("h")
@@ -168,6 +169,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", keep: tuple[str, ...]
 
     merged = common.arrow_map(spans, merge, f"k1 long, k2 long, part {_SPANS}")
     told = common.materialise(copies.where("copies > 1").join(merged, ["k1", "k2"], "full").select("k1", "k2", F.coalesce(F.col("copies") > 1, F.lit(False)).alias("whole"), "part"), "suffix-spans")
+    common.discard(contexts, copies)
     out = texts.join(told, ["k1", "k2"], "left")
     everything = F.array(F.struct(F.lit(0).alias("start"), F.octet_length("bytes").alias("end")))
     none = F.array().cast(_SPANS)
