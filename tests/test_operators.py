@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tickloom import queries
 from tickloom.contracts import require_columns
-from tickloom.operators import bars, fracdiff, joins, labeling, sizing, synthetic, validation, weights
-from tickloom.sources.trades import normalise_trades, output_path
+from tickloom.operators import bars, fracdiff, joins, labeling, overfitting, sizing, synthetic, validation, weights
+from tickloom.sources.trades import CREDENTIALS, PREFERRED, credentials, normalise_trades, output_path, read_trades, save_historical_trades
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -208,6 +208,49 @@ def test_interval_checks(spark):
         validation.intervals(spark.createDataFrame([], "t0 int, t1 int"))
 
 
+def test_series_metric(spark):
+    """A metric of sums gives what the block statistics give; others see the series."""
+    rng = np.random.default_rng(9)
+    rows = [(i, f"s{k}", float(rng.normal(0.01 * k, 1))) for i in range(24) for k in range(4)]
+    returns = spark.createDataFrame(rows, "pos long, strategy string, ret double")
+    by_sums = overfitting.cscv(returns, 4, overfitting.mean_metric()).orderBy("split").collect()
+    by_series = overfitting.cscv(returns, 4, series_metric=np.mean).orderBy("split").collect()
+    for a, b in zip(by_sums, by_series, strict=True):
+        assert (a.strategy, a.relative_rank) == (b.strategy, b.relative_rank) and a.is_metric == pytest.approx(b.is_metric)
+    worst = overfitting.cscv(returns, 4, series_metric=lambda x: x.min()).collect()
+    x = {k: np.array([r for _, s, r in rows if s == k]) for k in {s for _, s, _ in rows}}
+    for r in worst:
+        inside = np.isin(np.arange(24) // 6, r.in_blocks)
+        assert r.strategy == max(x, key=lambda k: x[k][inside].min()) and r.oos_metric == x[r.strategy][~inside].min()
+    with pytest.raises(Exception, match="knows no strategy"):
+        overfitting.cscv(returns, 4, series_metric=lambda x: float("nan")).collect()
+
+
+def fake_client(symbol, start, end, feed):
+    for i in (2, 1):
+        yield (DAY + dt.timedelta(days=i), symbol, 10.0 + i, 1.0, f"{feed}-{i}", "V")
+
+
+def test_saved_trades(spark, tmp_path, monkeypatch):
+    call = dict(start="a", end="b", fetcher="tests.test_operators:fake_client", folder=str(tmp_path))
+    path = save_historical_trades(spark, ["BTC/USD", "ETH/USD"], asset_class="crypto", **call)
+    assert path == f"{tmp_path}/crypto_btc-usd_eth-usd_trades_a_b.parquet"
+    got = read_trades(spark, path).collect()
+    assert [r.price for r in got] == [11.0, 11.0, 12.0, 12.0] and {r.symbol for r in got} == {"BTC/USD", "ETH/USD"}
+    assert spark.read.parquet(path).columns == list(PREFERRED) and spark.read.parquet(path).where("id like 'us-%'").count() == 4
+    with pytest.raises(ValueError):
+        save_historical_trades(spark, ["A"], asset_class="bond", **call)
+    for pair in CREDENTIALS:
+        for name in pair:
+            monkeypatch.delenv(name, raising=False)
+    with pytest.raises(ValueError):
+        save_historical_trades(spark, ["A"], asset_class="stock", **call)
+    monkeypatch.setenv(CREDENTIALS[1][0], "k")
+    monkeypatch.setenv(CREDENTIALS[1][1], "s")
+    assert credentials() == ("k", "s")
+    assert read_trades(spark, save_historical_trades(spark, ["A"], asset_class="stock", path=f"{tmp_path}/x", **call)).count() == 2
+
+
 def test_bet_sizes(spark):
     w = sizing.calibrate_w(F.lit(10.0), F.lit(0.95))
     row = spark.range(1).select(w.alias("w"), sizing.target_position(w, F.lit(115.0), F.lit(100.0), F.lit(100)).alias("t"), sizing.limit_price(F.lit(97), F.lit(0), F.lit(115.0), w, F.lit(100)).alias("p"), sizing.discretise(F.lit(0.25), 0.1).alias("d")).first()
@@ -246,6 +289,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.table("bars_out").select(cols).orderBy("bar_id").collect() == bars.dollar_bars(df, 40.0).ohlcv.select(cols).orderBy("bar_id").collect()
 
 
+@pytest.mark.parametrize("kind", ["imbalance", "run", "cusum"])
+def test_other_streams_equal_batch(spark, tmp_path, kind):
+    from tickloom.streaming import bars as streams
+
+    rng = np.random.default_rng(11)
+    df = trades(spark, [(float(p), 1 + i % 4) for i, p in enumerate(np.round(100 + np.cumsum(rng.normal(0, 1, 600)), 2))])
+    for part in range(3):  # in order over micro-batches
+        df.where(f"id div 200 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    if kind == "cusum":
+        out = streams.stream_cusum(source.select("symbol", "timestamp", F.col("price").alias("close")), 3.0)
+        want, cols = bars.cusum_events(df.withColumnRenamed("price", "close"), 3.0), ["symbol", "timestamp"]
+    else:
+        make = streams.stream_imbalance_bars if kind == "imbalance" else streams.stream_run_bars
+        out = make(source, "signed_volume", 100, 5)
+        want, cols = (bars.imbalance_bars if kind == "imbalance" else bars.run_bars)(df, "volume", 100, 5).ohlcv, ["bar_id", "open", "close", "volume", "ticks", "buy_volume"]
+    run = out.writeStream.format("memory").queryName(f"out_{kind}").option("checkpointLocation", f"{tmp_path}/ck").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = spark.table(f"out_{kind}").select(cols).orderBy(cols[-2], cols[0]).collect()
+    assert got == want.select(cols).orderBy(cols[-2], cols[0]).collect() and len(got) > 3
+
+
 def write_events(spark, folder, series):
     rows = [(i * 10_000 + j, DAY + dt.timedelta(hours=j), 1, k, float(x), "{\"k\": 1}") for i, (k, xs) in enumerate(series.items()) for j, x in enumerate(xs)]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")

@@ -24,7 +24,8 @@ def daily_returns(bars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 
 
 def daily_volatility(bars: DataFrame, span: int = 100, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, ts, vol): exponentially weighted deviation of daily returns (bias corrected); the first one is null."""
+    """(keys, ts, vol): exponentially weighted deviation of daily returns (bias corrected); the first one is null. Infinite
+    returns count as missing: they age the others and repeat the last deviation."""
     returns = daily_returns(bars, keys)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:

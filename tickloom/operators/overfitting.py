@@ -6,6 +6,8 @@ import math
 from collections.abc import Callable
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from tickloom.contracts import require, require_none
 from tickloom.functions.columns import ratio
 
 Metric = Callable[[Column, Column, Column], Column]
+SeriesMetric = Callable[[np.ndarray], float]
 
 
 def sharpe_of(n: Column, total: Column, squares: Column, risk_free: float = 0.0, periods: float | None = 252) -> Column:
@@ -59,10 +62,28 @@ def logit(x: Column) -> Column:
     return F.ln(ratio(x, 1 - x))
 
 
-def cscv(returns: DataFrame, partitions: int = 16, metric: Metric | None = None) -> DataFrame:
+def _series_metrics(returns: DataFrame, partitions: int, n: int, metric: SeriesMetric) -> DataFrame:
+    """(split, strategy, is_metric, oos_metric) by a function of a whole series of returns: a strategy is one task."""
+    halves = [np.isin(np.arange(n) // (n // partitions), c) for c in combinations(range(partitions), partitions // 2)]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        x = part.sort_values("pos")["ret"].to_numpy(float)
+        told = [(i, part["strategy"].iloc[0], float(metric(x[inside])), float(metric(x[~inside]))) for i, inside in enumerate(halves)]
+        return pd.DataFrame(told, columns=["split", "strategy", "is_metric", "oos_metric"])
+
+    found = returns.select("pos", "strategy", "ret").groupBy("strategy").applyInPandas(run, "split int, strategy string, is_metric double, oos_metric double")
+    known = [F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("is_metric", "oos_metric")]
+    found = found.select("split", "strategy", *known)
+    every = F.count("is_metric").over(Window.partitionBy("split"))
+    broken = F.raise_error(F.lit("the metric knows no strategy")).cast("double")
+    return found.withColumn("is_metric", F.when(every == 0, broken).otherwise(F.col("is_metric")))
+
+
+def cscv(returns: DataFrame, partitions: int = 16, metric: Metric | None = None, series_metric: SeriesMetric | None = None) -> DataFrame:
     """(split, in_blocks, out_blocks, strategy, is_metric, oos_metric, relative_rank, logit): the best strategy of each
     half of the blocks and its standing in the other half. Returns are aggregated once to a block's count, sum and sum
-    of squares; splits only add those up. Ties for the best go to the smallest name."""
+    of squares; splits only add those up. Ties for the best go to the smallest name. A ``series_metric`` that these sums
+    don't determine sees the returns of each half in order; a split in which it knows no strategy is an error."""
     metric = metric or sharpe_metric()
     n, spark = check_returns(returns, partitions), returns.sparkSession
     blocks = returns.groupBy(F.floor(F.col("pos") / (n // partitions)).cast("int").alias("block"), "strategy").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
@@ -70,7 +91,10 @@ def cscv(returns: DataFrame, partitions: int = 16, metric: Metric | None = None)
     rows = [(i, b, b in c) for i, c in enumerate(map(set, half)) for b in range(partitions)]
     splits = spark.createDataFrame(rows, "split int, block int, inside boolean")
     part = lambda c, flag: F.sum(F.when(F.col("inside") == flag, F.col(c)))
-    sums = blocks.join(splits, "block").groupBy("split", "strategy").agg(metric(*(part(c, True) for c in "nsq")).alias("is_metric"), metric(*(part(c, False) for c in "nsq")).alias("oos_metric"))
+    if series_metric:
+        sums = _series_metrics(returns, partitions, n, series_metric)
+    else:
+        sums = blocks.join(splits, "block").groupBy("split", "strategy").agg(metric(*(part(c, True) for c in "nsq")).alias("is_metric"), metric(*(part(c, False) for c in "nsq")).alias("oos_metric"))
     by = Window.partitionBy("split")
     ranked = sums.withColumn("relative_rank", relative_rank("oos_metric", ["split"], F.count("*").over(by)))
     best = ranked.withColumn("__r", F.row_number().over(by.orderBy(F.col("is_metric").desc_nulls_last(), "strategy"))).where("__r = 1 and is_metric is not null").drop("__r")

@@ -115,17 +115,60 @@ def dollar_bars(spark, sf_dir):
     return _bars(bars.dollar_bars(trades_from_events(spark, sf_dir), 50_000))
 
 
-def _adaptive(make, measure: str, name: str):
+_EWMA = "list_reduce({0}, lambda y, v: v * 2 / 21.0 + y * (1 - 2 / 21.0))"
+_LAST = "list_append(CASE WHEN len({0}) >= 20 THEN {0}[len({0}) - 18:] ELSE {0} END, {1})"
+_SEEDED = """{prepared},
+m AS (SELECT symbol, rn, CAST(tick_sign * {measure} AS DOUBLE) AS x FROM prepared),
+seed AS (SELECT symbol, CAST(greatest(10, count(*)) AS DOUBLE) AS ticks, coalesce(avg(x) FILTER (x <> 0), 1.0) AS mean, avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS share,
+    coalesce(avg(x) FILTER (x > 0), 1.0) AS buy, coalesce(avg(-x) FILTER (x < 0), 1.0) AS sell FROM m WHERE rn <= 100 GROUP BY symbol)"""
+
+
+def _imbalance_sql(measure: str) -> str:
+    """State before each row: the open bar's sum and count, the expectations and the last 20 sizes and means of closed bars."""
+    return f"""WITH RECURSIVE {_SEEDED.format(prepared=_PREPARED, measure=measure)},
+fold AS (
+    SELECT symbol, CAST(0 AS BIGINT) AS rn, 0.0::DOUBLE AS theta, 0.0::DOUBLE AS n, ticks, mean, CAST([] AS DOUBLE[]) AS sizes, CAST([] AS DOUBLE[]) AS means, CAST(0 AS BIGINT) AS bar_id, CAST(0 AS BIGINT) AS of_bar, false AS closes FROM seed
+    UNION ALL
+    SELECT symbol, rn, CASE WHEN hit THEN 0 ELSE theta END, CASE WHEN hit THEN 0 ELSE n END, CASE WHEN hit THEN least(100000, greatest(10, {_EWMA.format("new_sizes")})) ELSE ticks END,
+        CASE WHEN NOT hit THEN mean WHEN abs({_EWMA.format("new_means")}) < 1e-12 THEN 1.0 ELSE {_EWMA.format("new_means")} END, new_sizes, new_means, bar_id + CAST(hit AS BIGINT), bar_id, hit
+    FROM (SELECT *, CASE WHEN hit THEN {_LAST.format("sizes", "n")} ELSE sizes END AS new_sizes, CASE WHEN hit THEN {_LAST.format("means", "theta / n")} ELSE means END AS new_means
+        FROM (SELECT *, abs(theta) >= greatest(1e-12, ticks * abs(mean)) AS hit
+            FROM (SELECT f.symbol, m.rn, f.theta + m.x AS theta, f.n + 1 AS n, f.ticks, f.mean, f.sizes, f.means, f.bar_id FROM fold f JOIN m ON m.symbol = f.symbol AND m.rn = f.rn + 1)))
+)
+{_OHLCV} FROM (SELECT symbol, rn, of_bar AS bar_id, closes FROM fold WHERE rn > 0) JOIN prepared USING (symbol, rn) GROUP BY symbol, bar_id HAVING bool_or(closes)"""
+
+
+def _run_sql(measure: str) -> str:
+    """As for imbalance bars, with sums and counts of either side."""
+    return f"""WITH RECURSIVE {_SEEDED.format(prepared=_PREPARED, measure=measure)},
+fold AS (
+    SELECT symbol, CAST(0 AS BIGINT) AS rn, 0.0::DOUBLE AS sb, 0.0::DOUBLE AS ss, 0.0::DOUBLE AS nb, 0.0::DOUBLE AS ns, 0.0::DOUBLE AS n, ticks, share, buy, sell,
+        CAST([] AS DOUBLE[]) AS sizes, CAST([] AS DOUBLE[]) AS shares, CAST([] AS DOUBLE[]) AS buys, CAST([] AS DOUBLE[]) AS sells, CAST(0 AS BIGINT) AS bar_id, CAST(0 AS BIGINT) AS of_bar, false AS closes FROM seed
+    UNION ALL
+    SELECT symbol, rn, CASE WHEN hit THEN 0 ELSE sb END, CASE WHEN hit THEN 0 ELSE ss END, CASE WHEN hit THEN 0 ELSE nb END, CASE WHEN hit THEN 0 ELSE ns END, CASE WHEN hit THEN 0 ELSE n END,
+        CASE WHEN hit THEN least(100000, greatest(10, {_EWMA.format("l1")})) ELSE ticks END, CASE WHEN hit THEN {_EWMA.format("l2")} ELSE share END,
+        CASE WHEN hit THEN greatest(1e-12, {_EWMA.format("l3")}) ELSE buy END, CASE WHEN hit THEN greatest(1e-12, {_EWMA.format("l4")}) ELSE sell END, l1, l2, l3, l4, bar_id + CAST(hit AS BIGINT), bar_id, hit
+    FROM (SELECT *, CASE WHEN hit THEN {_LAST.format("sizes", "n")} ELSE sizes END AS l1, CASE WHEN hit THEN {_LAST.format("shares", "nb / n")} ELSE shares END AS l2,
+            CASE WHEN hit THEN {_LAST.format("buys", "CASE WHEN nb > 0 THEN sb / nb ELSE 0 END")} ELSE buys END AS l3, CASE WHEN hit THEN {_LAST.format("sells", "CASE WHEN ns > 0 THEN ss / ns ELSE 0 END")} ELSE sells END AS l4
+        FROM (SELECT *, greatest(sb, ss) >= greatest(1e-12, ticks * greatest(share * buy, (1 - share) * sell)) AS hit
+            FROM (SELECT f.symbol, m.rn, f.sb + greatest(m.x, 0) AS sb, f.ss + greatest(-m.x, 0) AS ss, f.nb + CAST(m.x > 0 AS INT) AS nb, f.ns + CAST(m.x < 0 AS INT) AS ns, f.n + 1 AS n, f.ticks, f.share, f.buy, f.sell, f.sizes, f.shares, f.buys, f.sells, f.bar_id
+                FROM fold f JOIN m ON m.symbol = f.symbol AND m.rn = f.rn + 1)))
+)
+{_OHLCV} FROM (SELECT symbol, rn, of_bar AS bar_id, closes FROM fold WHERE rn > 0) JOIN prepared USING (symbol, rn) GROUP BY symbol, bar_id HAVING bool_or(closes)"""
+
+
+def _adaptive(make, measure: str, name: str, sql: str | None):
     def run(spark, sf_dir):
         return _bars(make(trades_from_events(spark, sf_dir), measure, init=100, window=20))
 
     run.__name__ = name
-    query()(run)
+    query(sql)(run)
 
 
-for _measure in bars.MEASURES:
-    _adaptive(bars.imbalance_bars, _measure, f"{_measure}_imbalance_bars")
-    _adaptive(bars.run_bars, _measure, f"{_measure}_run_bars")
+# The first expectation equals the sum over the rows that seed it, so dollar bars hang on the last bit of a mean: no SQL for them.
+for _measure, _amount in (("tick", "1"), ("volume", "size"), ("dollar", None)):
+    _adaptive(bars.imbalance_bars, _measure, f"{_measure}_imbalance_bars", _amount and _imbalance_sql(_amount))
+    _adaptive(bars.run_bars, _measure, f"{_measure}_run_bars", _amount and _run_sql(_amount))
 
 
 @query("""SELECT event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS "end", arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close,
@@ -173,7 +216,14 @@ def daily_returns(spark, sf_dir):
     return _round(labeling.daily_returns(_closes(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CLOSES},
+rets AS (SELECT a.symbol, a.ts, a.close / b.close - 1 AS x, row_number() OVER (PARTITION BY a.symbol ORDER BY a.ts) AS rn FROM closes a ASOF JOIN closes b ON a.symbol = b.symbol AND a.ts - INTERVAL 1 DAY > b.ts),
+fold AS (
+    SELECT symbol, ts, CAST(0 AS BIGINT) AS rn, 0.0::DOUBLE AS w, 0.0::DOUBLE AS ww, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS spread, CAST(0 AS BIGINT) AS n FROM rets WHERE rn = 1
+    UNION ALL
+    SELECT symbol, ts, rn, nw, ww * q * q + CAST(ok AS INT), CASE WHEN ok THEN mean + (x - mean) / nw ELSE mean END, spread * q + CASE WHEN ok THEN (x - mean) * (x - mean) * (1 - 1 / nw) ELSE 0 END, n + CAST(ok AS INT)
+    FROM (SELECT r.symbol, r.ts, r.rn, r.x, isfinite(r.x) AS ok, f.ww, f.mean, f.spread, f.n, 1 - 2 / 51.0 AS q, f.w * (1 - 2 / 51.0) + CAST(isfinite(r.x) AS INT) AS nw FROM fold f JOIN rets r ON r.symbol = f.symbol AND r.rn = f.rn + 1)
+) SELECT symbol, ts, CASE WHEN n > 1 THEN round(sqrt(spread / w * (w * w) / (w * w - ww)), 6) END AS vol FROM fold WHERE rn > 0""")
 def daily_volatility(spark, sf_dir):
     return _round(labeling.daily_volatility(_closes(spark, sf_dir), 50))
 

@@ -11,7 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tickloom.contracts import require, require_columns
 
-#: Environment variables read for credentials, in order, and the preferred columns.
+#: Environment variables read for credentials, in order, the preferred columns and (below) the file name.
 CREDENTIALS = (("ALPACA_API_KEY", "ALPACA_SECRET_KEY"), ("APCA_API_KEY_ID", "APCA_API_SECRET_KEY"))
 REQUIRED = ("timestamp", "symbol", "price", "size")
 PREFERRED = ("timestamp", "symbol", "price", "size", "id", "exchange")
@@ -86,8 +86,16 @@ def save_trades(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     return path
 
 
-def read_trades(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("timestamp", "symbol", "price", "size")
+def save_historical_trades(spark: SparkSession, symbols: list[str], start: str, end: str, asset_class: str, fetcher: str, folder: str = "data", path: str | None = None, **feeds: str) -> str:
+    """Fetch, normalise and write; returns the path, made from the request unless given."""
+    trades = fetch_trades(spark, symbols, start, end, asset_class, fetcher, **feeds)
+    return save_trades(trades, path or output_path(asset_class, symbols, start, end, folder))
+
+
+def read_trades(spark: SparkSession, path: str, sort: bool = True) -> DataFrame:
+    """The four columns that bars need, in order of time."""
+    out = spark.read.parquet(path).select("timestamp", "symbol", "price", "size")
+    return out.orderBy("timestamp") if sort else out
 
 
 def save_statistics(df: DataFrame, path: str) -> str:
