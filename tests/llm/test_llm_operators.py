@@ -169,6 +169,27 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_forest_recall(spark):
+    """Deep trees, pairs at the limit, lengths of their own: links against brute force."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(700, 32))
+    side -= (side * x[:700]).sum(axis=1, keepdims=True) * x[:700]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    angle = np.arccos(rng.choice([0.9801, 0.985, 0.999], 700))[:, None]
+    x = np.concatenate([x, np.cos(angle) * x[:700] + np.sin(angle) * side])
+    few = [rng.normal(size=n) for n in range(1, 90)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate([*x, *few, *few])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    near = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.98
+    want = near.sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df, leaf=64, block=64).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum() and want.sum() >= 1400
+    assert all(got[len(x) + i] >= 1 for i in range(2 * len(few)))
+
+
 def test_chat_format(spark):
     nasty = "a<|im_end|>\\<\\|x\n<|im_sep|>\\"
     rows = [(1, 2, "assistant", "b"), (1, 1, "user", nasty), (1, 3, "assistant", nasty), (1, 3, "assistant", nasty), (2, 1, None, None), (None, None, "a\nb<|", "t"), (3, 1, "assistant", "")]

@@ -7,12 +7,13 @@ Each tree splits unit vectors recursively by random directions; a vector within
 pair at the limit with a probability under 1 %, and closer ones less. Trees are
 independent, so a pair is missed only if every tree parts it.
 
-Splits are medians of a bounded sample (``sample`` vectors, those of the least id hashes)
-and the depth follows the size of the largest label. Every vector is indexed. Vectors
-are compared within leaves of one label, in blocks of at most ``block`` rows; a leaf
-grown large is cut into pairs of blocks, so no task holds a whole large leaf. A pair
-counts only in the first leaf that both vectors share; blocks return sums and spanning
-edges, not pairs.
+Vectors of each length have a forest of their own. Its splits are medians of a bounded
+sample (``sample`` vectors, those of the least id hashes), its depth follows the size of
+the largest label, as far as the sample can be halved; where one leaf holds them all, one
+tree is enough. Every vector is indexed. Vectors are compared within leaves of one label,
+in blocks of at most ``block`` rows; a leaf grown large is cut into pairs of blocks, so no
+task holds a whole large leaf. A pair counts only in the first leaf that both vectors
+share; blocks return sums and spanning edges, not pairs.
 
 Equal vectors of a label form one class with a multiplicity. Vectors that are null, zero
 or hold null or non-finite components, and rows with a null label or id, link with
@@ -113,7 +114,7 @@ def _compare(table: pa.Table, cosine: float) -> pa.Table:
     return pa.table({"cid": pa.array(cid[linked], pa.int64()), "n": pa.array(total[linked], pa.int64()), "root": pa.array(cid[label[linked]], pa.int64())})
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, trees: int = 6, leaf: int = 1024, block: int = 1024, sample: int = 20_000, max_depth: int = 12) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, trees: int = 6, leaf: int = 1024, block: int = 1024, sample: int = 20_000) -> DataFrame:
     """One row a row: ``id_col``, ``n_links`` long, ``component_id`` long, ``kept`` boolean."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
@@ -122,23 +123,19 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows = rows.withColumn("good", good)
     sound = rows.where("good").select("id", "label", "v")
     classes = common.materialise(sound.groupBy("label", "v").agg(F.min("id").alias("cid"), F.count("*").alias("mult")), "vector-classes")
-    largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    depth = max(0, min(max_depth, math.ceil(math.log2(max(1, largest) / leaf))))
-    drawn = classes.select("v").orderBy(F.xxhash64("cid"), "cid").limit(sample if depth else 1)
-    by_size: dict[int, list] = {}
-    for (v,) in drawn.toLocalIterator():
-        by_size.setdefault(len(v), []).append(v)
-    sizes = [n for (n,) in classes.select(F.size("v")).distinct().limit(65).collect()]
-    if len(sizes) > 64:
-        raise ValueError("vectors of more than 64 different lengths")
-
-    def forest(dims: int) -> Forest:
-        unit = np.array(by_size.get(dims, np.zeros((0, dims))), float).reshape(-1, dims)
-        unit = unit / np.maximum(np.linalg.norm(unit / np.maximum(np.abs(unit).max(axis=1, keepdims=True), 1e-300), axis=1, keepdims=True) * np.abs(unit).max(axis=1, keepdims=True), 1e-300) if len(unit) else unit
+    by_size = classes.groupBy("label", F.size("v").alias("dims")).agg(F.count("*").alias("n")).groupBy("dims").agg(F.max("n").alias("n"))
+
+    def forest(dims: int, largest: int) -> Forest:
+        depth = min(max(0, math.ceil(math.log2(max(1, largest) / leaf))), int(math.log2(sample)))
+        if not depth:
+            return Forest(np.zeros((0, dims)), 1, 0, 0.0)
+        drawn = classes.where(F.size("v") == dims).select("v").orderBy(F.xxhash64("cid"), "cid").limit(sample)
+        unit = np.array([v for (v,) in drawn.toLocalIterator()], float)
+        unit = unit / np.abs(unit).max(axis=1, keepdims=True)
         reach = math.sqrt(max(0.0, 2 - 2 * cosine))
-        return Forest(unit, trees, depth, 1.5 * reach / math.sqrt(dims))
+        return Forest(unit / np.linalg.norm(unit, axis=1, keepdims=True), trees, depth, 1.5 * reach / math.sqrt(dims))
 
-    shared = spark.sparkContext.broadcast({n: forest(n) for n in sizes})
+    shared = spark.sparkContext.broadcast({r["dims"]: forest(r["dims"], r["n"]) for r in by_size.collect()})  # a row a length
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
