@@ -93,29 +93,35 @@ def _contexts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Reco
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch], depth: int, shard_bytes: int, memory: int) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of h; whole anchors are gathered up to ``shard_bytes`` and sorted together."""
+    """Rows come in order of h; whole anchors are gathered up to ``shard_bytes``, in a scratch file beyond ``memory`` bytes,
+    and sorted together."""
     kind = pa.list_(pa.struct([pa.field("a", pa.int32(), False), pa.field("b", pa.int32(), False)]))
 
-    def judged(rows: list[tuple]) -> pa.RecordBatch:
-        runs: list = []
-        for (_, _, text, many), hit in zip(rows, induced.repeated([x[2] for x in rows], depth, memory), strict=True):
+    def judged(keys: list[tuple], shard: induced.Gathered) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for (h, c, many), size, hit in zip(keys, shard.sizes, induced.repeated(shard, depth, memory), strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-            runs.append([{"a": 0, "b": len(text)}] if many else [{"a": int(a), "b": int(b) + depth - 1} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-        kept = [i for i, x in enumerate(runs) if x]
-        ids = [pa.array([rows[i][j] for i in kept], pa.int64()) for j in (0, 1)]
-        return pa.RecordBatch.from_arrays([*ids, pa.array([runs[i] for i in kept], kind)], ["h", "c", "runs"])
-
-    rows: list[tuple] = []
-    size = 0
+            runs = [{"a": 0, "b": size}] if many else [{"a": int(a), "b": int(b) + depth - 1} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+            out += [(h, c, runs)] if runs else []
+            if len(out) >= 10_000:
+                yield told(out)
+                out = []
+        yield told(out)
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], kind)], ["h", "c", "runs"])
+
+    keys: list[tuple] = []
+    shard = induced.Gathered(memory)
     for batch in batches:
-        for row in zip(*(common.column(batch, x).to_pylist() for x in ("h", "c", "context", "many")), strict=True):
-            if size >= shard_bytes and rows[-1][0] != row[0]:
-                yield judged(rows)
-                rows, size = [], 0
-            rows.append(row)
-            size += len(row[2])
-    if rows:
-        yield judged(rows)
+        for h, c, text, many in zip(*(common.column(batch, x).to_pylist() for x in ("h", "c", "context", "many")), strict=True):
+            if shard.size >= shard_bytes and keys[-1][0] != h:
+                yield from judged(keys, shard)
+                keys, shard = [], induced.Gathered(memory)
+            keys.append((h, c, many))
+            shard.add(text)
+    if keys:
+        yield from judged(keys, shard)
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[dict]:
