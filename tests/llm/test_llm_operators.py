@@ -47,6 +47,20 @@ def test_bpe_tree(spark):
     assert collections.Counter(bytes(r.decoded) for r in again.collect()) == texts
 
 
+def test_bpe_other_patterns():
+    """A pattern that joins a word with the space behind it is found out, and its texts still come out as the library's."""
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(tokenizer_path(RANKS))
+    assert byte_bpe.separable(token_pattern())
+    for pattern in (r"\w+\s?|.|\s", r"\S+ \S+|\s+|\S+"):
+        assert not byte_bpe.separable(pattern)
+        plain, tree = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), byte_bpe.TreeCodec(ranks, pattern, leaf=5, window=2)
+        for seed in range(20):
+            text = words(20, seed)
+            assert tree.encode(text).tolist() == plain.encode_ordinary(text)
+
+
 def test_token_counts(spark):
     counter = token_count.Counter(tokenizer_path(PIECES), chunk=40, overlap=3)
     assert counter.provable
@@ -85,10 +99,31 @@ def test_induced_sorting():
         depth, letters = rng.choice([2, 3, 7]), rng.choice([b"ab", b"abc ", bytes(range(256))])
         texts = [bytes(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(rng.randint(1, 6))] + [b"a" * 20]
         count = collections.Counter(t[i : i + depth] for t in texts for i in range(len(t) - depth + 1))
-        for text, hit in zip(texts, induced.repeated(texts, depth, memory=rng.choice([100, 1 << 20])), strict=True):
+        for text, hit in zip(texts, induced.repeated(texts, depth, memory=rng.choice([0, 100, 1 << 20]), chunk=rng.choice([3, 17, 1 << 20])), strict=True):
             assert hit.tolist() == [i + depth <= len(text) and count[text[i : i + depth]] > 1 for i in range(len(text))]
 
 
+def test_sorting_beyond_memory():
+    """A shard many times larger than the bytes that its arrays and queues may hold: the same hits, from scratch files."""
+    rng = random.Random(12)
+    base = [words(3000, i).encode() for i in range(8)]
+    texts = [b[rng.randrange(0, 900) : rng.randrange(9000, len(b))] + words(50, 100 + i).encode() for i, b in enumerate(base + base)]
+    size, memory = sum(map(len, texts)), 1 << 14
+    assert size > 10 * memory
+    spilled, files = [], []
+    spill, make = induced.BlockQueues._spill, induced.tempfile.TemporaryFile
+    induced.BlockQueues._spill = lambda self: (spilled.append(self.held), spill(self))
+    induced.tempfile.TemporaryFile = lambda *a, **b: files.append(1) or make(*a, **b)
+    try:
+        got = list(induced.repeated(texts, 200, memory, chunk=2000))
+    finally:
+        induced.BlockQueues._spill, induced.tempfile.TemporaryFile = spill, make
+    assert len(spilled) > 20 and max(spilled) < 4 * memory and len(files) > 10
+    count = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    for text, hit in zip(texts, got, strict=True):
+        assert hit.tolist() == [i + 200 <= len(text) and count[text[i : i + 200]] > 1 for i in range(len(text))]
+
+
 def test_suffix_dedup(spark):
     df = documents(spark)
     texts = [(r.text or "").encode() for r in df.collect()]

@@ -6,7 +6,9 @@ grows on both sides until each edge is a place where a character that is no whit
 space meets white space (or the end of the node). No alternative of the pre-token
 pattern matches across such a place and none that ends there looks past it, so the
 tokens outside the window are those of the whole text: the join is exact, and hence
-associative, whatever the cuts were. Decoding concatenates the bytes of halves.
+associative, whatever the cuts were. Any pattern is tried on all short strings of the
+kinds of characters that patterns tell apart; for one that fails no place counts as
+stable, and a join encodes its node anew. Decoding concatenates the bytes of halves.
 
 Nulls: a null text is the empty text; it has no tokens. Rows are kept one for one,
 repeated ids included; other columns pass through only if named in ``keep``.
@@ -15,10 +17,13 @@ repeated ids included; other columns pass through only if named in ``keep``.
 from __future__ import annotations
 
 import base64
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +38,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+@functools.cache
+def separable(pattern: str, longest: int = 4) -> bool:
+    """Whether a text splits where white space follows another character: matches of both sides are those of the whole."""
+    find = regex.compile(pattern).finditer
+    parts = lambda x: [m.group() for m in find(x)]
+    for n in range(2, longest + 1):
+        for letters in itertools.product("aS1'.é日 \n\t", repeat=n):
+            text = "".join(letters)
+            for i in range(1, n):
+                if text[i] in _WHITE and not text[i - 1].isspace() and parts(text) != parts(text[:i]) + parts(text[i:]):
+                    return False
+    return True
+
+
 class TreeCodec:
     """Encoder and decoder of single texts; ``leaf`` is the longest part (characters, ids) that isn't halved."""
 
@@ -40,7 +59,7 @@ class TreeCodec:
         import tiktoken
 
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.leaf, self.window = max(2, leaf), max(1, window)
+        self.leaf, self.window, self.separable = max(2, leaf), max(1, window), separable(pattern)
         self.sizes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
@@ -57,10 +76,9 @@ class TreeCodec:
         cut = (start + end) // 2
         return self.join(text, start, cut, end, self._encode(text, start, cut), self._encode(text, cut, end))
 
-    @staticmethod
-    def stable(text: str, at: int) -> bool:
+    def stable(self, text: str, at: int) -> bool:
         """Tokens on either side of ``at`` don't depend on the other side."""
-        return text[at] in _WHITE and not text[at - 1].isspace()
+        return self.separable and text[at] in _WHITE and not text[at - 1].isspace()
 
     def join(self, text: str, start: int, cut: int, end: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Tokens of text[start:end] from those of text[start:cut] and text[cut:end]."""

@@ -123,8 +123,13 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, bands: int
     return common.arrow_map(source, run, T.StructType([T.StructField("id", kind), *T._parse_datatype_string("n_shingles long, s1 long, s2 long, bands array<long>, sig binary").fields]))
 
 
-def id_filter(ids: DataFrame, bits: int = 1 << 26) -> np.ndarray:
-    """A Bloom filter of the (long) column ``id``, three hashes, ``bits`` bits whatever the number of ids."""
+#: Bits of the largest Bloom filter (32 MB); beyond 2^25 ids it lets more and more others pass, which costs time only.
+MOST_BITS = 1 << 28
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the (long) column ``id``: three hashes, eight to sixteen bits an id up to ``MOST_BITS``."""
+    bits = min(MOST_BITS, 1 << max(20, (8 * ids.count()).bit_length()))
     places = F.array(*(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(bits)) for salt in range(3)))
     words = ids.select(F.explode(places).alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("x"))
     table = words.toArrow()
@@ -135,8 +140,9 @@ def id_filter(ids: DataFrame, bits: int = 1 << 26) -> np.ndarray:
 
 def shingle_sets(df: DataFrame, used: DataFrame, words: int) -> DataFrame:
     """(id, shingles array<long>) of the rows of (id, text) whose id is in ``used`` (and a few others)."""
-    bits = df.sparkSession.sparkContext.broadcast(id_filter(used))
-    places = F.array(*(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 26)) for salt in range(3)))
+    table = id_filter(used)
+    bits = df.sparkSession.sparkContext.broadcast(table)
+    places = F.array(*(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(64 * len(table))) for salt in range(3)))
     source = df.where("id is not null").select("id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes"), places.alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
