@@ -119,6 +119,16 @@ def test_search_and_bagging(spark, table):
         models.bag(models.random_forest(1), whole, 0)
 
 
+def test_weights_reach_the_last_step(spark, table):
+    df, names = table
+    whole = models.assemble(df, names)
+    one = whole.withColumn("weight", F.col("label").cast("double"))
+    told = models.predict(models.weighted_pipeline(LogisticRegression()).fit(one), whole)
+    assert told.where("p1 < 0.99").count() == 0  # rows of label 0 weigh nothing
+    with pytest.raises(ValueError):
+        models.weighted_pipeline()
+
+
 def test_permutation_keeps_values(spark):
     df = spark.range(50).select(F.col("id").alias("pos"), (F.col("id") * 2).alias("x"))
     got = models.permuted(df, "x", 1).collect()

@@ -156,9 +156,15 @@ def cross_validate(estimator, df: DataFrame, scoring: str = "neg_log_loss", fold
     return parallel(one, list(range(folds)))
 
 
+def weighted_pipeline(*stages) -> Pipeline:
+    """A pipeline whose last step, an estimator, gets the labels and weights of the table."""
+    require(bool(stages) and stages[-1].hasParam("weightCol"), "the last step has to take weights")
+    return Pipeline(stages=[*stages[:-1], stages[-1].copy({stages[-1].weightCol: "weight", stages[-1].labelCol: "label"})])
+
+
 def scaled_logistic(reg: float = 0.01) -> Pipeline:
-    """Scaling, then a weighted logistic regression: the weight reaches the last step."""
-    return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", regParam=reg)])
+    """Scaling, then a weighted logistic regression."""
+    return weighted_pipeline(StandardScaler(inputCol="features", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", regParam=reg))
 
 
 @dataclass
