@@ -215,9 +215,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = common.materialise(full.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("rep")), "minhash-classes")
     keys = ["s1", "s2", "n_shingles"]
     reps = full.join(classes, keys).where("id = rep").select("rep", "n_shingles", F.explode("bands").alias("band"))
-    first = F.min(F.struct("rep", "n_shingles"))
-    buckets = reps.groupBy("band").agg(first.alias("low"), F.max("rep").alias("high")).where("low.rep < high").select("band", F.col("low.rep").alias("low"), F.col("low.n_shingles").alias("m"))
-    members = common.materialise(reps.join(buckets, "band").select("band", "rep", "n_shingles", "low", "m").distinct(), "minhash-buckets")
+    shared = reps.groupBy("band").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.count("*").alias("size")).where("x < y").select("band", "size")
+    crowd = common.materialise(reps.join(shared, "band").distinct(), "minhash-crowd")
+    # A bucket is compared with its member of the largest buckets: of variants of one text that is the least changed one.
+    degree = crowd.groupBy("rep").agg(F.sum("size").alias("degree"))
+    best = F.max(F.struct("degree", F.bitwise_not("rep").alias("x"), "n_shingles")).alias("best")
+    leaders = crowd.join(degree, "rep").groupBy("band").agg(best).select("band", F.bitwise_not("best.x").alias("low"), F.col("best.n_shingles").alias("m"))
+    members = common.materialise(crowd.drop("size").join(leaders, "band"), "minhash-buckets")
+    common.discard(crowd)
     spent = [signed, members]
     sets = common.materialise(shingle_sets(df, members.select(F.col("rep").alias("id")).distinct(), words), "minhash-sets")
 
