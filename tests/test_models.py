@@ -77,6 +77,9 @@ def test_importance_ranks_features(spark, table):
         mean = {r.feature: r["mean"] for r in got.collect()}
         assert set(mean) == set(names) and 0.5 < oob <= 1 and 0.5 < oos <= 1
         assert max(mean, key=mean.get)[0] != "N"
+        chart = models.importance_chart(got, oob, oos, method).orderBy("place").collect()
+        assert [r.place for r in chart] == list(range(6)) and chart[-1].feature == max(mean, key=mean.get)
+        assert {r.baseline for r in chart} == {1 / 6 if method == "MDI" else None}
     with pytest.raises(ValueError):
         models.feature_importance(df, names, 2, 2, method="other")
     shares = {r.type: r.importance for r in models.importance_experiment(spark, 4, 2, 1, 5, 200, 2, ("MDI",)).collect()}

@@ -333,6 +333,15 @@ def feature_importance(df: DataFrame, features: list[str], trees: int = 1000, fo
     return mdi(whole, features, df.sparkSession) if method == "MDI" else sfi(estimator, df, features, folds, embargo, scoring), oob, oos
 
 
+def importance_chart(table: DataFrame, oob: float, oos: float, method: str, tag: str = "") -> DataFrame:
+    """What a bar chart of importances shows: (place, feature, mean, std, baseline, title), the least important first; the
+    baseline of MDI is an equal share."""
+    w = Window.partitionBy(F.lit(0))  # one row a feature
+    baseline = F.when(F.lit(method == "MDI"), 1.0 / F.count("*").over(w))
+    title = f"tag={tag} | method={method} | oob={oob:.4f} | oos={oos:.4f}"
+    return table.select((F.row_number().over(w.orderBy("mean", "feature")) - 1).alias("place"), "feature", "mean", "std", baseline.alias("baseline"), F.lit(title).alias("title"))
+
+
 def importance_experiment(spark: SparkSession, features: int = 40, informative: int = 10, redundant: int = 10, trees: int = 1000, rows: int = 10_000, folds: int = 10, methods: tuple[str, ...] = ("MDI", "MDA", "SFI"), scoring: str = "accuracy", seed: int = 0) -> DataFrame:
     """(method, type, importance, oob, oos): shares of importance of informative, redundant and noise features."""
     df = classification_data(spark, features, informative, redundant, rows, seed).cache()

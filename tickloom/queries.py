@@ -325,7 +325,24 @@ def fracdiff_expanding(spark, sf_dir):
     return _round(fracdiff.expanding(_closes(spark, sf_dir), 0.4, 0.05), 4)
 
 
-@query()
+_PHI = "(0.5 + exp(-x * x) * list_sum(list_transform(range(0, 121), lambda i: CASE WHEN x = 0 THEN 0 ELSE sign(x) * exp(i * ln(2.0) + (2 * i + 1) * ln(abs(x)) - (lgamma(2 * i + 2.0) - i * ln(2.0) - lgamma(i + 1.0))) END)) / sqrt(pi()))"
+
+#: Unit-root regression with a constant and one lag from centred sums, and its p-value by the response surface (fixed values).
+_ADF = f"""WITH RECURSIVE {_CLOSES}, logs AS (SELECT symbol, ln(close) AS y, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM closes WHERE close > 0),
+w AS (SELECT CAST(unnest(range(11)) AS DOUBLE) / 10 AS d, 0 AS k, 1.0::DOUBLE AS w UNION ALL SELECT d, k + 1, -w * (d - k) / (k + 1) FROM w WHERE abs(w * (d - k) / (k + 1)) >= 0.01),
+f AS (SELECT w.d, a.symbol, a.rn, a.y, sum(w.w * b.y) AS x FROM w JOIN (SELECT d, max(k) AS m FROM w GROUP BY d) USING (d) JOIN logs a ON a.rn > m JOIN logs b ON b.symbol = a.symbol AND b.rn = a.rn - w.k GROUP BY ALL),
+s AS (SELECT *, lag(x) OVER o AS l, x - lag(x) OVER o AS dy FROM f WINDOW o AS (PARTITION BY d, symbol ORDER BY rn)),
+t AS (SELECT *, lag(dy) OVER (PARTITION BY d, symbol ORDER BY rn) AS dl FROM s),
+m AS (SELECT d, symbol, count(*) AS n, covar_pop(l, l) AS a, covar_pop(l, dl) AS b, covar_pop(dl, dl) AS c, covar_pop(l, dy) AS u, covar_pop(dl, dy) AS v, covar_pop(dy, dy) AS q FROM t WHERE dl IS NOT NULL GROUP BY d, symbol),
+e AS (SELECT *, (u * c - v * b) / (a * c - b * b) AS b0, (v * a - u * b) / (a * c - b * b) AS b1 FROM m),
+z AS (SELECT d, symbol, n, b0 / sqrt((q - b0 * u - b1 * v) / (n - 3) * c / (a * c - b * b)) AS stat FROM e),
+p AS (SELECT *, greatest(-6, least(6, CASE WHEN stat <= -1.61 THEN 2.1659 + 1.4412 * stat + 0.038269 * stat * stat ELSE 1.7339 + 0.93202 * stat - 0.12745 * stat * stat - 0.010368 * stat * stat * stat END)) / sqrt(2.0) AS x FROM z),
+k AS (SELECT d, symbol, corr(x, y) AS corr FROM f GROUP BY d, symbol)
+SELECT symbol, round(d, 6) AS d, round(stat, 6) AS stat, round(CASE WHEN stat > 2.74 THEN 1.0 WHEN stat < -18.83 THEN 0.0 ELSE PHI END, 6) AS p_value, CAST(1 AS BIGINT) AS lags, n AS n_obs,
+    round(-2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.04 / (n * n * n), 6) AS critical_5, round(corr, 6) AS corr FROM p JOIN k USING (d, symbol)"""
+
+
+@query(_ADF.replace("PHI", _PHI))
 def least_difference_order(spark, sf_dir):
     return _round(fracdiff.least_order(_closes(spark, sf_dir)))
 
@@ -427,9 +444,6 @@ def overfitting_probability(spark, sf_dir):
     return _round(overfitting.overfitting_probability(overfitting.cscv(_blocks(_returns(spark, sf_dir), 6), 6)))
 
 
-_PHI = "(0.5 + exp(-x * x) * list_sum(list_transform(range(0, 121), lambda i: CASE WHEN x = 0 THEN 0 ELSE sign(x) * exp(i * ln(2.0) + (2 * i + 1) * ln(abs(x)) - (lgamma(2 * i + 2.0) - i * ln(2.0) - lgamma(i + 1.0))) END)) / sqrt(pi()))"
-
-
 def _bets(spark, sf_dir):
     events = _events(_closes(spark, sf_dir))
     prob = 0.5 + F.least(F.col("trgt"), F.lit(0.9)) / 2
