@@ -35,7 +35,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def discard(*frames: DataFrame) -> None:
     """Delete tables that ``materialise`` returned and whose readers have all been written. Lost executors don't need them:
-    what was made of them is in tables of its own."""
+    what was made of them is in tables of its own. The collection on the driver lets Spark remove the shuffle files of the
+    finished queries too, which else stay until its memory happens to be collected."""
+    for df in frames[:1]:
+        df.sparkSession.sparkContext._jvm.System.gc()
     for df in frames:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
