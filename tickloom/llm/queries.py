@@ -162,6 +162,21 @@ SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce
 FROM doc d LEFT JOIN words w USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
 
+_OP4 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5_number(b[i : i + 399]) AS g FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400)),
+again AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM w JOIN again USING (g)),
+runs AS (SELECT r, min(i) AS a, max(i) + 399 AS z FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM hit) GROUP BY r, k),
+pieces AS (
+    SELECT r, a, hex(b[gone + 1 : a - 1]) AS x FROM (SELECT r, a, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS gone FROM runs) JOIN d USING (r)
+    UNION ALL SELECT r, z + 1, hex(b[z + 1 :]) FROM (SELECT r, max(z) AS z FROM runs GROUP BY r) JOIN d USING (r)
+), kept AS (SELECT r, from_hex(string_agg(x, '' ORDER BY a)) AS k FROM pieces GROUP BY r),
+cut AS (SELECT r, count(*) AS n_spans, sum(z - a + 1) AS n_removed FROM runs GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(coalesce(k, b)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)
+"""
+
 _COMPONENTS5 = """
 doc AS (SELECT doc_id, list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table}),
 sh AS (
@@ -215,4 +230,4 @@ FROM d LEFT JOIN o ON g = payload_digest AND n = payload_bytes
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": _OP2, "op3_decontaminate": _OP3, "op5_minhash_dedup": _OP5, "op8_chat_format": _OP8, "op10_warc": _OP10}
+    return {"op2_embedding_dedup": _OP2, "op3_decontaminate": _OP3, "op4_suffix_dedup": _OP4, "op5_minhash_dedup": _OP5, "op8_chat_format": _OP8, "op10_warc": _OP10}
