@@ -159,6 +159,23 @@ def test_infinite_returns_stay_in_their_events(spark):
     assert told == [(0, "-1.0", 0.0), (2, "inf", 1.0), (2, "nan", 1.0)]
 
 
+def test_rounding_is_that_of_the_sql(spark):
+    x = [1.0171875, 4.0453125, -1.0171875, 0.5e-6, -0.5e-6, 1.5e-6, 2.5e-6, -2.5e-7, 0.49999999999999994e-6, 0.1234565, 8191.0000005, 123456789.1234565, 1e17, 1e305, math.inf, -math.inf]
+    df = spark.createDataFrame([(v,) for v in [*x, math.nan, None]], "x double")
+    got = [r.x for r in queries._round(df).collect()]
+    away = lambda y: math.copysign(math.floor(abs(y)) + (abs(y) % 1 >= 0.5), y)
+    assert got[: len(x)] == [away(v * 1e6) / 1e6 if abs(v) < 1e300 else v for v in x]
+    assert got[0] == 1.017187 and math.isnan(got[-2]) and got[-1] is None
+    assert queries._round(df.where("x = 1.0171875").withColumn("y", F.col("x")), y=3).first() == (1.017187, 1.017)
+
+
+def test_daily_returns_over_null_closes(spark):
+    at = lambda h: DAY + dt.timedelta(hours=h)
+    b = spark.createDataFrame([("a", at(0), 2.0), ("a", at(1), None), ("a", at(25), 3.0), ("a", at(26), 4.0), ("a", at(27), None)], "symbol string, ts timestamp_ntz, close double")
+    got = sorted((r.ts, r.ret) for r in labeling.daily_returns(b).collect())
+    assert got == [(at(25), 0.5), (at(26), None), (at(27), None)]
+
+
 def test_time_decay(spark):
     w = spark.createDataFrame([("a", i, 1.0) for i in range(4)], "symbol string, t0 int, weight double")
     assert [r.decay for r in weights.time_decay(w, 1.0).orderBy("t0").collect()] == pytest.approx([1, 1, 1, 1])

@@ -40,6 +40,15 @@ def quotient(a: Column, b: Column) -> Column:
     return F.when(b == 0, a.cast("double") * F.lit(math.inf)).otherwise(F.try_divide(a, b))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Halves away from zero, in floating-point arithmetic as C and DuckDB do it: the scaled number is rounded. Spark's own
+    ``round`` goes by the shortest decimal that denotes x, which may be a half where the scaled number isn't. What overflows stays."""
+    scale = F.lit(10.0**digits)
+    y = x * scale
+    out = F.when(F.abs(y - F.rint(y)) == 0.5, y + F.signum(y) * 0.5).otherwise(F.rint(y)) / scale
+    return F.when(F.abs(out) < math.inf, out).otherwise(x)
+
+
 def log(x: Column) -> Column:
     """Natural logarithm, minus infinity at 0; null below."""
     return F.when(x == 0, F.lit(-math.inf)).otherwise(F.ln(x))

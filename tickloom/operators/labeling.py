@@ -17,10 +17,11 @@ KEYS = ("symbol",)
 
 
 def daily_returns(bars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Return of each bar over the last bar strictly before one day earlier; bars without one are left out."""
+    """Return of each bar over the last bar strictly before one day earlier; bars without one are left out. A null close on
+    either side makes the return null."""
     back = bars.select(*keys, F.col("ts").alias("__ts"), F.col("close").alias("__close"), (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("ts"))
-    found = asof(back, bars.select(*keys, "ts", "close"), keys, "ts", "close", strict=True, alias="before")
-    return found.where(F.col("before").isNotNull()).select(*keys, F.col("__ts").alias("ts"), (quotient(F.col("__close"), F.col("before")) - 1).alias("ret"))
+    found = asof(back, bars.select(*keys, "ts", F.struct("close").alias("close")), keys, "ts", "close", strict=True, alias="before")
+    return found.where(F.col("before").isNotNull()).select(*keys, F.col("__ts").alias("ts"), (quotient(F.col("__close"), F.col("before.close")) - 1).alias("ret"))
 
 
 def daily_volatility(bars: DataFrame, span: int = 100, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import ordered, quotient
+from tickloom.functions.columns import ordered, quotient, rounded
 from tickloom.operators import bars, fracdiff, joins, labeling, overfitting, sizing, synthetic, validation, weights
 from tickloom.plans import models
 from tickloom.sources.trades import normalise_trades, trades_from_events
@@ -33,8 +33,8 @@ def oracle_sql() -> dict[str, str]:
     return {k: q for k, (_, q) in _REGISTRY.items() if q}
 
 
-def _round(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def _round(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    return df.select(*(rounded(F.col(c), other.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def _closes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def prepared_trades(spark, sf_dir):
 
 
 def _bars(found: bars.Bars) -> DataFrame:
-    return _round(found.ohlcv.withColumn("dollar_value", F.round("dollar_value", 4)))
+    return _round(found.ohlcv, dollar_value=4)
 
 
 @query(f"WITH {_PREPARED} {_OHLCV} FROM (SELECT *, (rn - 1) // 25 AS bar_id FROM prepared) GROUP BY symbol, bar_id HAVING count(*) = 25")
