@@ -176,6 +176,17 @@ def test_daily_returns_over_null_closes(spark):
     assert got == [(at(25), 0.5), (at(26), None), (at(27), None)]
 
 
+def test_totals_carry_no_rounding_of_earlier_bars(spark):
+    prices = [1e150, 1e-150, 0.0] * 300 + [3.0, 3.1, 3.1, 2.9, 2.9000001]
+    n = len(prices)
+    b = spark.createDataFrame([("a", t, p) for t, p in enumerate(prices)] + [("b", t, None if t in (1, 2) else 2.0 + t) for t in range(5)], "symbol string, ts int, close double")
+    e = spark.createDataFrame([("a", 1, 1), *(("a", t, t) for t in range(n - 4, n)), ("b", 1, 2), ("b", 4, 4)], "symbol string, t0 int, t1 int")
+    got = {(r.symbol, r.t0): r.weight for r in weights.return_attribution(b, e).collect()}
+    for t in range(n - 4, n):
+        assert got["a", t] == pytest.approx(abs(math.log(prices[t]) - math.log(prices[t - 1])), abs=1e-15)
+    assert got["a", 1] == pytest.approx(300 * math.log(10)) and got["b", 1] is None and got["b", 4] == pytest.approx(math.log(6 / 5))
+
+
 def test_time_decay(spark):
     w = spark.createDataFrame([("a", i, 1.0) for i in range(4)], "symbol string, t0 int, weight double")
     assert [r.decay for r in weights.time_decay(w, 1.0).orderBy("t0").collect()] == pytest.approx([1, 1, 1, 1])

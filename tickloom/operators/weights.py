@@ -38,19 +38,20 @@ def _prefix_lookup(events: DataFrame, sums: DataFrame, keys: tuple[str, ...]) ->
 
 
 def _interval_totals(bars: DataFrame, events: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, t0, t1, total, n) of a bar value over [t0, t1]; nulls count as absent. Infinities and NaN are counted apart
-    from the sums, so that they reach the totals of their own events only."""
+    """(keys, t0, t1, total, n) of a bar value (below 1e7 in size unless infinite) over [t0, t1]; nulls count as absent, and
+    a total of nothing is null. Infinities and NaN are counted apart from the sums, so that they reach the totals of their
+    own events only. Sums are decimals: of floating-point sums the difference would carry the rounding of all earlier bars."""
     w = running(list(keys), "ts")
     x, many = F.col(value).cast("double"), lambda c: F.count(F.when(c, 1)).over(w)
     odd = {"up": x == math.inf, "down": x == -math.inf, "nan": F.isnan(x)}
-    finite = F.when(~(odd["up"] | odd["down"] | odd["nan"]), x)
-    sums = bars.select(*keys, "ts", F.struct(F.count(value).over(w).alias("n"), F.coalesce(F.sum(finite).over(w), F.lit(0.0)).alias("s"), *(many(c).alias(k) for k, c in odd.items())).alias("v"))
+    finite = F.when(~(odd["up"] | odd["down"] | odd["nan"]), x).cast("decimal(27,20)")
+    sums = bars.select(*keys, "ts", F.struct(F.count(value).over(w).alias("n"), F.coalesce(F.sum(finite).over(w), F.lit(0).cast("decimal(37,20)")).alias("s"), *(many(c).alias(k) for k, c in odd.items())).alias("v"))
     last = bars.groupBy(*keys).agg(F.max("ts").alias("__last"))
     spans = events.select(*keys, "t0", "t1").join(last, list(keys)).select(*keys, "t0", F.coalesce("t1", "__last").alias("t1"))
     met = _prefix_lookup(spans, sums, keys)
     less = lambda f: F.col(f"hi.{f}") - F.coalesce(F.col(f"lo.{f}"), F.lit(0))
     up, down = less("up") > 0, less("down") > 0
-    total = F.when((less("nan") > 0) | (up & down), F.lit(math.nan)).when(up, F.lit(math.inf)).when(down, F.lit(-math.inf)).otherwise(less("s"))
+    total = F.when((less("nan") > 0) | (up & down), F.lit(math.nan)).when(up, F.lit(math.inf)).when(down, F.lit(-math.inf)).when(less("n") > 0, less("s").cast("double"))
     return met.select(*keys, "t0", "t1", total.alias("total"), less("n").alias("n"))
 
 
